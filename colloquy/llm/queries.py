@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from colloquy.llm import sql
 from colloquy.llm.chunking import cut_items, quiet_ends
+from colloquy.llm.identity import id_key, participant_id
+from colloquy.llm.mixture import mix, plan_table, records, shares
 from colloquy.llm.nearest import match_nearest
+from colloquy.llm.splits import assign_splits, components
+from colloquy.llm.transcript import participants, speaker_turns
 from colloquy.llm.visual_form import look_alike_pairs
 from colloquy.tables import millis, table, usable_utterances
 
@@ -35,5 +39,61 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_nearest(said, heard, ["conv_id", "speaker"], "utt_id", "seg_id", "middle2", "middle2", 800)
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of the raw lines of each conversation."""
+    forms = [r["form"] for r in table(spark, sf_dir, "filler_item").select("form").collect()]  # fixed: 15 rows
+    return speaker_turns(table(spark, sf_dir, "raw_utterance"), participants(table(spark, sf_dir, "conversation")), forms)
+
+
+def conversation_groups(conversation: DataFrame, utterance: DataFrame) -> DataFrame:
+    """conv_id, group_id: conversations tied by a participant, a recording or a derivation."""
+    conv = lambda c: F.concat(F.lit("c|"), F.coalesce(id_key(c), F.concat(F.lit("="), c)))
+    node = conv(F.col("id"))
+    meta = lambda k: F.col("meta")[k]
+    named = conversation.where("id is not null")
+    tied = F.array(
+        *(F.concat(F.lit("p|"), participant_id(meta(k))) for k in ("spk1", "spk2")), F.concat(F.lit("r|"), id_key(meta("recording"))), F.concat(F.lit("c|"), id_key(meta("derived_from")))
+    )
+    by_meta = named.select(node.alias("a"), F.explode(tied).alias("b"))
+    by_voice = utterance.where("conv_id is not null").select("conv_id", "speaker_id").distinct().select(conv(F.col("conv_id")).alias("a"), F.concat(F.lit("p|"), participant_id(F.col("speaker_id"))).alias("b"))
+    itself = named.select(node.alias("a"), node.alias("b"))
+    labels = components(by_meta.union(by_voice).where("b is not null").distinct().union(itself))
+    ids = named.select(F.col("id").alias("conv_id"), node.alias("node")).distinct().join(labels, "node").select("conv_id", "root")
+    people = labels.where("node like 'p|%'").select(F.substring("node", 3, 100).alias("name"), "root")
+    names = ids.select(F.col("conv_id").alias("name"), "root").union(people).groupBy("root").agg(F.min("name").alias("group_id"))
+    return ids.join(names, "root").select("conv_id", "group_id")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every conversation."""
+    return conversation_groups(table(spark, sf_dir, "conversation"), table(spark, sf_dir, "utterance"))
+
+
+def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split of every conversation, groups kept together."""
+    targets = [(r["split"], r["share_pct"]) for r in table(spark, sf_dir, "split_target").orderBy(F.desc("share_pct"), "split").collect()]  # fixed: 3 rows
+    return assign_splits(p6_found(spark, sf_dir), "group_id", targets)
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversation = table(spark, sf_dir, "conversation").select("id", "source", millis("duration").alias("ms"))
+    return records(conversation, "id", "source", "ms", table(spark, sf_dir, "mix_target"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix goes through each source, and whether that is too little."""
+    return plan_table(_records(spark, sf_dir), table(spark, sf_dir, "mix_target"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix, a row for each time a conversation comes out."""
+    return mix(_records(spark, sf_dir), table(spark, sf_dir, "mix_target"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that the mix reaches."""
+    return shares(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_target"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares}
 SQL = sql.SQL
