@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import sql
+from colloquy.llm.byte_pairs import encode_texts
 from colloquy.llm.chunking import cut_items, quiet_ends
 from colloquy.llm.identity import id_key, participant_id
 from colloquy.llm.mixture import mix, plan_table, records, shares
 from colloquy.llm.nearest import match_nearest
+from colloquy.llm.packing import pack
+from colloquy.llm.shared_spans import SharedSpans
 from colloquy.llm.splits import assign_splits, components
 from colloquy.llm.transcript import participants, speaker_turns
 from colloquy.llm.visual_form import look_alike_pairs
-from colloquy.tables import millis, table, usable_utterances
+from colloquy.tables import checkpointed, millis, table, usable_utterances
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,5 +98,28 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_target"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+
+
+def p9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in containers of 2,048 tokens."""
+    sizes = checkpointed(p8_ids(spark, sf_dir).select("doc_id", F.size("ids").alias("n_tokens")))
+    return pack(sizes, "doc_id", "n_tokens", 2048)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents that have 240 consecutive characters in common."""
+    pairs = SharedSpans(table(spark, sf_dir, "documents"), "doc_id", "text").pairs()
+    return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many characters of each document stand in passages that another document has too."""
+    rows = SharedSpans(table(spark, sf_dir, "documents"), "doc_id", "text").shared_characters()
+    return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_chars"), F.col("shared").alias("n_shared"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_ids": p8_ids, "p9_pack": p9_pack, "p10_found": p10_found, "p10_shared": p10_shared}
 SQL = sql.SQL
