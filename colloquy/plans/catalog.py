@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from colloquy.plans import coverage
+from colloquy.plans import coverage, events, frames, interleave, stats, windows
 
+MODULES = (events, frames, stats, windows, interleave)
 QUERIES = {"p4_found": coverage.p4_found}
 SQL = {"p4_found": coverage.P4_SQL}
+for m in MODULES:
+    QUERIES.update(m.QUERIES)
+    SQL.update(m.SQL)
