@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,18 +29,25 @@ def usable_utterances(utterance: DataFrame, *extra: str) -> DataFrame:
     return timed.where((F.col("end_ms") > F.col("start_ms")) & F.col("conv_id").isNotNull())
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the folder that all executors share.
-
-    The folder is ``spark.checkpoint.dir`` of the session; a local one is made
-    only where the setting is missing, as in tests on one machine.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session names it; a local one only where none is set."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="colloquy-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="colloquy-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a checkpoint in the folder that all executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def blank_to_null(c: Column) -> Column:
     return F.when(F.trim(c) != "", c)
+
+
+def checkpoint_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of its own under the folder that all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid4()}"
