@@ -61,11 +61,11 @@ def pack(items: DataFrame, key: str, tokens: str, capacity: int, max_segments: i
     """
     max_loss = max_loss or capacity
     n = F.col("n")
-    rows = items.select(F.col(key).cast("bigint").alias("id"), F.col(tokens).cast("int").alias("n"), (F.col(loss) if loss else F.col(tokens)).cast("int").alias("loss")).dropna().where("n > 0").distinct()
+    rows = items.select(F.col(key).cast("bigint").alias("id"), F.col(tokens).cast("bigint").alias("n"), (F.col(loss) if loss else F.col(tokens)).cast("bigint").alias("loss")).dropna().where("n > 0").distinct()
     pieces = rows.select("id", n, "loss", F.explode(F.sequence(F.lit(0), ((n - 1) / capacity).cast("int"))).alias("p"))
     size = F.least(F.lit(capacity), n - F.col("p") * capacity)
     part_loss = F.least(size, F.floor((F.col("p") * capacity + size) * F.col("loss") / n) - F.floor(F.col("p") * capacity * F.col("loss") / n)).cast("int")
-    pieces = checkpointed(pieces.select("id", (F.col("p") + 1).alias("piece_no"), (F.col("p") * capacity).alias("start"), size.cast("int").alias("size"), F.least(part_loss, F.lit(max_loss)).alias("loss")))
+    pieces = checkpointed(pieces.select("id", (F.col("p") + 1).alias("piece_no"), (F.col("p") * capacity).cast("int").alias("start"), size.cast("int").alias("size"), F.least(part_loss, F.lit(max_loss)).alias("loss")))
     shards = max(1, -(-pieces.count() // SHARD_ITEMS))
     limits = np.array([capacity, max_segments, max_loss])
 
