@@ -58,9 +58,11 @@ def conversation_groups(conversation: DataFrame, utterance: DataFrame) -> DataFr
         *(F.concat(F.lit("p|"), participant_id(meta(k))) for k in ("spk1", "spk2")), F.concat(F.lit("r|"), id_key(meta("recording"))), F.concat(F.lit("c|"), id_key(meta("derived_from")))
     )
     by_meta = named.select(node.alias("a"), F.explode(tied).alias("b"))
-    by_voice = utterance.where("conv_id is not null").select("conv_id", "speaker_id").distinct().select(conv(F.col("conv_id")).alias("a"), F.concat(F.lit("p|"), participant_id(F.col("speaker_id"))).alias("b"))
+    voices = checkpointed(utterance.where("conv_id is not null").select("conv_id", "speaker_id").distinct())  # so that ids are parsed once a pair, not once a row
+    by_voice = voices.select(conv(F.col("conv_id")).alias("a"), F.concat(F.lit("p|"), participant_id(F.col("speaker_id"))).alias("b"))
     itself = named.select(node.alias("a"), node.alias("b"))
-    labels = components(by_meta.union(by_voice).where("b is not null").distinct().union(itself))
+    links = checkpointed(by_meta.union(by_voice).where("b is not null").union(itself).distinct())
+    labels = checkpointed(components(links))
     ids = named.select(F.col("id").alias("conv_id"), node.alias("node")).distinct().join(labels, "node").select("conv_id", "root")
     people = labels.where("node like 'p|%'").select(F.substring("node", 3, 100).alias("name"), "root")
     names = ids.select(F.col("conv_id").alias("name"), "root").union(people).groupBy("root").agg(F.min("name").alias("group_id"))
