@@ -34,11 +34,11 @@ def parse_srt(files: DataFrame, content: str, *keep: str) -> DataFrame:
     """
     blocks = files.select(*keep, F.posexplode(F.split(F.regexp_replace(content, "\r\n?", "\n"), r"\n[ \t]*\n")).alias("no", "block"))
     lines = F.filter(F.split("block", "\n"), lambda x: F.trim(x) != "")
-    b = blocks.withColumn("l", lines).where((F.size("l") >= 3) & F.contains(F.element_at("l", 2), F.lit("-->")))
-    times = F.split(F.element_at("l", 2), "-->")
-    body = F.trim(F.array_join(F.slice("l", 3, F.size("l") - 2), " "))
+    b = blocks.withColumn("l", lines).where((F.size("l") >= 3) & F.contains(F.get("l", F.lit(1)), F.lit("-->")))
+    times = F.split(F.get("l", F.lit(1)), "-->")
+    body = F.trim(F.array_join(F.slice("l", 3, F.greatest(F.size("l") - 2, F.lit(0))), " "))
     label = r"^\[([^\]]*)\]\s*"
-    b = b.select(*keep, "no", srt_seconds(F.element_at(times, 1)).alias("start_s"), srt_seconds(F.element_at(times, 2)).alias("end_s"), F.regexp_extract(body, label, 1).alias("label"), F.regexp_replace(body, label, "").alias("text"))
+    b = b.select(*keep, "no", srt_seconds(F.get(times, F.lit(0))).alias("start_s"), srt_seconds(F.get(times, F.lit(1))).alias("end_s"), F.regexp_extract(body, label, 1).alias("label"), F.regexp_replace(body, label, "").alias("text"))
     return b.where("start_s is not null and end_s is not null")
 
 
