@@ -165,7 +165,7 @@ def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.add.reduceat(words[rows], at)
             for k in range(len(at)):
                 r = rows[at[k]]
-                goes_on = k == 0 and open_turn is not None and start[r] == -1 and open_turn[1] == speaker[r]
+                goes_on = k == 0 and open_turn is not None and start[r] == -1 and open_turn[:2] == [conv, speaker[r]]
                 if goes_on:
                     open_turn[3], open_turn[4] = ids[rows[ends[k]]], open_turn[4] + total[k]
                     continue
