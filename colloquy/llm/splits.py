@@ -145,7 +145,7 @@ def assign_splits(members: DataFrame, group: str, shares: list[tuple[str, float]
     spark = members.sparkSession
     ranges = spark.createDataFrame(table, "size bigint, lo bigint, hi bigint, split string")
     ranked = rank_within(sizes, "size", [F.col("g")])
-    given = ranked.join(ranges, (ranked["size"] == ranges["size"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select("g", "split")
+    given = ranked.join(ranges, (ranked["size"] == ranges["size"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select(F.col("g").alias("__g"), F.col("split"))
     rest = [c for c in members.columns if c != "split"]
     kept = members.select(*rest)
-    return kept.join(given, kept[group].eqNullSafe(given["g"])).select(*rest, "split")
+    return kept.join(given, kept[group].eqNullSafe(given["__g"])).select(*rest, "split")
