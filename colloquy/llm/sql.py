@@ -1,5 +1,10 @@
 """SQL for DuckDB of the queries that SQL can express."""
 
+from __future__ import annotations
+
+from colloquy.llm.identity import PLAIN, WIDE
+from colloquy.llm.visual_form import LOOK_ALIKE
+
 P3 = """
 WITH u AS (
   SELECT DISTINCT utt_id, conv_id, speaker, CAST(round(start_s * 1000) AS BIGINT) AS s, CAST(round(end_s * 1000) AS BIGINT) AS e FROM utterance WHERE speaker IN (0, 1)
@@ -31,4 +36,25 @@ mark AS (
 SELECT conv_id, piece_no, start_ms, CASE WHEN total - start_ms <= 120000 THEN total ELSE coalesce(cut, start_ms + 120000) END AS end_ms FROM piece
 """
 
-SQL = {"p2_found": P2, "p3_found": P3}
+
+def p1(look_alike: dict[str, str], wide: str, plain: str) -> str:
+    one = {a: b for a, b in look_alike.items() if len(b) == 1}
+    text = r"regexp_replace(text, '[\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}]', '', 'g')"
+    text = f"translate(translate({text}, '{wide}', '{plain}'), '{''.join(one)}', '{''.join(one.values())}')"
+    for a, b in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("…", "..."), ("‥", "..")):
+        text = f"replace({text}, '{a}', '{b}')"
+    text = r"nfc_normalize(trim(regexp_replace(" + text + r", '[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')))"
+    return f"""WITH u AS (SELECT DISTINCT utt_id, conv_id, text, {text} AS form FROM utterance WHERE text IS NOT NULL AND conv_id IS NOT NULL)
+SELECT a.utt_id AS utt_id_a, b.utt_id AS utt_id_b FROM u a JOIN u b ON a.conv_id = b.conv_id AND a.form = b.form AND a.utt_id < b.utt_id AND a.text <> b.text WHERE a.form <> ''"""
+
+
+def p7(wide: str, plain: str) -> str:
+    fold = rf"regexp_replace(lower(translate(source, '{wide}', '{plain}')), '[^\p{{L}}\p{{N}}]', '', 'g')"
+    return f"""WITH c AS (SELECT DISTINCT id, {fold} AS f, CAST(round(duration * 1000) AS BIGINT) AS ms FROM conversation WHERE id IS NOT NULL),
+m AS (SELECT DISTINCT source, weight_pct, max_repeat, {fold} AS f FROM mix_target),
+o AS (SELECT m.source, weight_pct, max_repeat, coalesce(sum(ms), 0) AS own FROM m LEFT JOIN c ON c.f = m.f AND ms > 0 GROUP BY 1, 2, 3),
+t AS (SELECT *, weight_pct * sum(own) OVER () AS want FROM o)
+SELECT source, CAST(CASE WHEN max_repeat * own * 100 < want THEN max_repeat WHEN want = 0 THEN 0 ELSE (want + 100 * own - 1) // (100 * own) END AS INT) AS passes, CAST(max_repeat * own * 100 < want AS INT) AS is_short FROM t"""
+
+
+SQL = {"p1_found": p1(LOOK_ALIKE, WIDE.replace("'", "''"), PLAIN.replace("'", "''")), "p2_found": P2, "p3_found": P3, "p7_found": p7(WIDE.replace("'", "''"), PLAIN.replace("'", "''"))}
