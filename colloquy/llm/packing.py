@@ -22,6 +22,8 @@ SHARD_ITEMS = 100_000
 
 def fill(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
     """Container number of each item; demand: items x dimensions, none above the limits."""
+    if (demand > limits).any():
+        raise ValueError("an item exceeds a limit")
     classes, of = np.unique(demand, axis=0, return_inverse=True)
     order = np.argsort(of, kind="stable")
     counts = np.bincount(of, minlength=len(classes))

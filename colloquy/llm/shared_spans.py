@@ -43,6 +43,7 @@ REACH = TOKEN + sum(a + b for a, b in ROUNDS)  # 60
 EXTRA = SPAN - 2 * REACH  # characters that are looked at on either side of a name's text
 STRIDE = 8
 BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 PIECE = 1 << 21  # code points that are worked on at a time
 
@@ -69,16 +70,16 @@ class Texts:
 
     def __post_init__(self) -> None:
         n = len(self.points)
-        powers = np.full(n + 1, BASE, np.uint64)
-        powers[0] = 1
-        self.powers = np.cumprod(powers)
+        rising, falling = (np.full(n + 1, b, np.uint64) for b in (BASE, INVERSE))
+        rising[0] = falling[0] = 1
+        self.falling = np.cumprod(falling)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix(self.points.astype(np.uint64) + np.uint64(1)) * self.powers[:-1], out=self.sums[1:])
+        np.cumsum(mix(self.points.astype(np.uint64) + np.uint64(1)) * np.cumprod(rising)[:-1], out=self.sums[1:])
         self.n = n
 
     def hashes(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Hash of points[lo:hi]; depends on nothing but their values."""
-        return mix((self.sums[hi] - self.sums[lo]) * self.powers[self.n - lo] + (hi - lo).astype(np.uint64) * M2)
+        """Hash of points[lo:hi]; depends on nothing but their values, wherever they stand and whatever stands beside them."""
+        return mix((self.sums[hi] - self.sums[lo]) * self.falling[lo] + (hi - lo).astype(np.uint64) * M2)
 
 
 def _boundaries(t: Texts) -> np.ndarray:

@@ -35,9 +35,11 @@ def test_encoding_and_round_trip(spark):
 def test_fill():
     r = np.random.default_rng(1)
     n = np.minimum(64, r.geometric(0.06, 800))
-    loss = (n * r.random(800)).astype(int)
+    loss = np.minimum(40, (n * r.random(800)).astype(int))
     d = np.column_stack([n, np.ones_like(n), loss])
     c = fill(d, np.array([64, 6, 40]))
+    with pytest.raises(ValueError, match="exceeds"):
+        fill(d, np.array([3, 6, 40]))
     for k, limit in enumerate((64, 6, 40)):
         assert np.bincount(c, weights=d[:, k]).max() <= limit
     assert c.max() + 1 <= 1.15 * max(n.sum() / 64, 800 / 6, loss.sum() / 40) + 1
@@ -113,3 +115,9 @@ def test_every_stretch_keeps_a_boundary():
         part = p[cut : cut + SPAN]
         _, alone, _ = kept_boundaries(Texts(part, np.array([0, SPAN])))
         assert set(alone + cut) & set(at)
+
+
+def test_hashes_do_not_depend_on_the_piece():
+    a, b = np.arange(50, dtype=np.int32), np.arange(20, 40, dtype=np.int32)
+    one, two = Texts(a, np.array([0, 50])), Texts(b, np.array([0, 20]))
+    assert one.hashes(np.array([22]), np.array([35])) == two.hashes(np.array([2]), np.array([15]))
