@@ -303,9 +303,12 @@ class SharedSpans:
         c = self.contexts.select(*group, "c1", "c2", "at", "n_left", "n_right")
         crowd = c.groupBy(*group).agg(F.min(F.struct("c1", "c2")).alias("a"), F.max(F.struct("c1", "c2")).alias("b")).where("a <> b").select(*group)
         whole = c.join(crowd, group, "left_semi").select("c1", "c2", "at", "n_left", "n_right")
-        sides = self.crossing.select(*group, "n_left", "n_right").union(self.crossing.select("h", "l2", "r2", "n_left", "n_right"))
-        reach = sides.groupBy(*group, "n_left").agg(F.max("n_right").alias("n_right"))
-        partly = c.select(*group, "c1", "c2", "at").join(reach, group).select("c1", "c2", "at", "n_left", "n_right")
+        sides = self.crossing.select(*group, "l2", "r2", "n_left", "n_right").union(self.crossing.select("h", "l2", "r2", "l", "r", "n_left", "n_right"))
+        who = F.struct("c1", "c2")
+        others = c.groupBy("h", F.col("l").alias("l2"), F.col("r").alias("r2")).agg(F.min(who).alias("lo"), F.max(who).alias("hi"))
+        reach = sides.join(others, ["h", "l2", "r2"]).groupBy(*group, "n_left", "lo", "hi").agg(F.max("n_right").alias("n_right"))
+        met = c.select(*group, "c1", "c2", "at").join(reach, group).where((F.col("lo") != who) | (F.col("hi") != who))  # a text doesn't share with itself
+        partly = met.select("c1", "c2", "at", "n_left", "n_right")
         spans = whole.union(partly).select("c1", "c2", (F.col("at") - REACH - F.col("n_left")).alias("s"), (F.col("at") + REACH + F.col("n_right")).alias("e"))
         found = periods_and_gaps(spans, ["c1", "c2"], "s", "e").where("kind = 'period'").groupBy("c1", "c2").agg(F.sum(F.col("e") - F.col("s")).alias("shared"))
         copies = self.members.groupBy("c1", "c2").agg(F.count("*").alias("copies"))
