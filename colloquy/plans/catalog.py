@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from colloquy.plans import coverage, events, frames, interleave, scoring, signal, sources, stats, text, windows
+from colloquy.plans import coverage, events, extras, frames, interleave, scoring, signal, sources, stats, text, windows
 
-MODULES = (events, frames, stats, windows, interleave, text, scoring, signal, sources)
+MODULES = (events, frames, stats, windows, interleave, text, scoring, signal, sources, extras)
 QUERIES = {"p4_found": coverage.p4_found}
 SQL = {"p4_found": coverage.P4_SQL}
 for m in MODULES:
