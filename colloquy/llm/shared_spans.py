@@ -28,6 +28,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,7 +46,7 @@ STRIDE = 8
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-PIECE = 1 << 21  # code points that are worked on at a time
+PIECE = 1 << 21  # bytes of text that are worked on at a time
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -157,14 +158,15 @@ def kept_boundaries(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, Texts]]:
-    """Rows in pieces of about PIECE code points; a longer text is a piece of its own."""
-    for b in batches:
-        points, lengths = points_of(b.column(text))
-        starts = np.concatenate([[0], np.cumsum(lengths)])
+    """Rows in pieces of about PIECE bytes of text, so that a batch of long texts takes no more memory than one of short ones; a longer text is a piece of its own."""
+    for whole in batches:
+        ends = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(whole.column(text)), 0), np.int64))])
         first = 0
-        while first < b.num_rows:
-            last = max(first + 1, int(np.searchsorted(starts, starts[first] + PIECE, "right")) - 1)
-            yield b.slice(first, last - first), Texts(points[starts[first] : starts[last]], starts[first : last + 1] - starts[first])
+        while first < whole.num_rows:
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + PIECE, "right")) - 1)
+            b = whole.slice(first, last - first)
+            points, lengths = points_of(b.column(text))
+            yield b, Texts(points, np.concatenate([[0], np.cumsum(lengths)]))
             first = last
 
 
