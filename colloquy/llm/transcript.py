@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from colloquy.functions.arrow import codes, concat_batches, run_starts
+from colloquy.functions.text import clock_ms
 from colloquy.llm.identity import participant_id
 from colloquy.tables import checkpointed
 
@@ -105,18 +106,6 @@ def parse_line(speaker: str | None, label: str | None, text: str | None, filler:
     return number, ("P" + person.lstrip("0").rjust(7, "0") if person else None), noise, words
 
 
-def clock_ms(c: F.Column) -> F.Column:
-    """Milliseconds of ``H:M:S``, ``M:S`` or seconds, with a point or comma before the fraction and commas between thousands; else null."""
-    s = F.regexp_replace(F.trim(c), r"\s|s$", "")
-    clock = r"^(?:([0-9]+):)?([0-9]+):([0-9]+(?:[.,][0-9]+)?)$"
-    sec = F.regexp_replace(F.regexp_extract(s, clock, 3), ",", ".").cast("decimal(20,6)")
-    of_clock = (F.when(F.regexp_extract(s, clock, 1) != "", F.regexp_extract(s, clock, 1)).otherwise("0").cast("bigint") * 60 + F.regexp_extract(s, clock, 2).cast("bigint")) * 60 + sec
-    grouped = r"^[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?$"
-    of_seconds = F.when(s.rlike(grouped), F.regexp_replace(s, ",", "")).otherwise(F.regexp_replace(s, ",", ".")).cast("decimal(26,6)")
-    value = F.when(s.rlike(clock), of_clock).when(s.rlike(r"^[0-9]+([.,][0-9]+)*$") & (s.rlike(grouped) | s.rlike(r"^[0-9]+([.,][0-9]+)?$")), of_seconds)
-    return F.round(value * 1000).cast("bigint")
-
-
 FINAL, EDGE, MARK_ROW = 0, 1, 2
 PART = T.StructType(
     [

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.functions.text import normalize_ascii, normalize_text, word_edits, words
+from colloquy.functions.text import clock_ms, normalize_ascii, normalize_text, word_edits, words
 from colloquy.plans.base import UTT, utterances, with_
 from colloquy.plans.interleave import TOK, sched, streams
 from colloquy.operators.interleave import schedule
@@ -17,6 +17,7 @@ from colloquy.schema import CHUNK_MS
 from colloquy.tables import table
 
 ASCII = r"^[\x00-\x7F]*$"
+HANGUL = r"\p{IsHangul}"
 
 
 def normalize_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -30,24 +31,39 @@ def normalize_all(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", normalize_text(F.col("text"), F.col("lang")).alias("norm"))
 
 
+def pairs(spark: SparkSession, d: str) -> DataFrame:
+    """An utterance and a line first delivered for the same conversation and start, however that is written, both with a text: utt_id, raw_id, speaker, s, e, ref, hyp, start_time."""
+    raw = table(spark, d, "raw_utterance").select("raw_id", "conv_id", F.col("text").alias("hyp"), "start_time").distinct().withColumn("s", clock_ms(F.col("start_time")))
+    u = utterances(spark, d).select("utt_id", "conv_id", "speaker", "s", "e", F.col("text").alias("ref"))
+    return u.join(raw, ["conv_id", "s"]).where("ref is not null and hyp is not null").select("utt_id", "raw_id", "speaker", "s", "e", "ref", "hyp", "start_time")
+
+
 def ref_hyp(spark: SparkSession, d: str) -> DataFrame:
-    """An utterance and the line first delivered for the same conversation and start: utt_id, raw_id, speaker, ref, hyp."""
-    raw = table(spark, d, "raw_utterance").where(r"start_time rlike '^[0-9]{2}:[0-9]{2}:[0-9]{2}[.,][0-9]{3}$'").select("raw_id", "conv_id", "text", "start_time").distinct()
-    part = lambda a, n: F.substring("start_time", a, n).cast("bigint")
-    raw = raw.select("raw_id", "conv_id", F.col("text").alias("hyp"), (((part(1, 2) * 60 + part(4, 2)) * 60 + part(7, 2)) * 1000 + part(10, 3)).alias("s"))
-    u = utterances(spark, d).select("utt_id", "conv_id", "speaker", "s", F.col("text").alias("ref"))
-    x = u.join(raw, ["conv_id", "s"]).where(F.col("ref").rlike(ASCII) & F.col("hyp").rlike(ASCII))
-    return x.select("utt_id", "raw_id", "speaker", normalize_ascii(F.col("ref")).alias("ref"), normalize_ascii(F.col("hyp")).alias("hyp")).where("ref <> ''")
+    """All pairs whose utterance holds a word, in their normal form, words apart in every language: utt_id, raw_id, speaker, s, e, ko, ref, hyp. The tables name no language; a pair is Korean (ko) if its utterance has Hangul in it."""
+    x = pairs(spark, d).withColumn("ko", F.col("ref").rlike(HANGUL))
+    norm = lambda c: normalize_text(F.col(c), F.lit(None).cast("string")).alias(c)
+    return x.select("utt_id", "raw_id", "speaker", "s", "e", "ko", norm("ref"), norm("hyp")).where("ref <> ''")
 
 
-def cer(spark: SparkSession, d: str) -> DataFrame:
-    """Character errors per speaker, summed over all pairs."""
-    x = ref_hyp(spark, d).select("speaker", F.levenshtein("ref", "hyp").alias("k"), F.length("ref").alias("n"))
+def _by_speaker(x: DataFrame) -> DataFrame:
+    x = x.select("speaker", F.levenshtein("ref", "hyp").alias("k"), F.length("ref").alias("n"))
     return x.groupBy("speaker").agg(F.count("*").alias("pairs"), F.sum("k").alias("edits"), F.sum("n").alias("chars"), F.round(F.sum("k") / F.sum("n"), 6).alias("cer"))
 
 
+def cer(spark: SparkSession, d: str) -> DataFrame:
+    """Character errors per speaker over the part of the pairs that its SQL takes: both texts ASCII, the start written as hours, minutes, seconds and three digits. cer_all has all pairs."""
+    x = pairs(spark, d).where(F.col("start_time").rlike("^[0-9]{2}:[0-9]{2}:[0-9]{2}[.,][0-9]{3}$") & F.col("ref").rlike(ASCII) & F.col("hyp").rlike(ASCII))
+    return _by_speaker(x.select("speaker", normalize_ascii(F.col("ref")).alias("ref"), normalize_ascii(F.col("hyp")).alias("hyp")).where("ref <> ''"))
+
+
+def cer_all(spark: SparkSession, d: str) -> DataFrame:
+    """Character errors per speaker, summed over all pairs; Korean without its spaces."""
+    bare = lambda c: F.when(F.col("ko"), F.replace(F.col(c), F.lit(" "))).otherwise(F.col(c)).alias(c)
+    return _by_speaker(ref_hyp(spark, d).select("speaker", bare("ref"), bare("hyp")))
+
+
 def wer(spark: SparkSession, d: str) -> DataFrame:
-    """Word errors of each pair."""
+    """Word errors of each pair, words as they are spaced."""
     x = ref_hyp(spark, d).select("utt_id", "raw_id", words(F.col("ref")).alias("r"), words(F.col("hyp")).alias("h"))
     return x.select("utt_id", "raw_id", word_edits(F.col("r"), F.col("h")).alias("edits"), F.size("r").alias("n_words"))
 
@@ -74,8 +90,7 @@ def _latencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def token_latency(spark: SparkSession, d: str) -> DataFrame:
     """Delay of the words of a line that match its utterance's, by longest matching blocks."""
-    u = utterances(spark, d).select("utt_id", "s", "e")
-    return ref_hyp(spark, d).where("hyp <> ''").join(u, "utt_id").mapInPandas(_latencies, "utt_id bigint, raw_id bigint, pos int, latency_ms bigint")
+    return ref_hyp(spark, d).where("hyp <> ''").mapInPandas(_latencies, "utt_id bigint, raw_id bigint, pos int, latency_ms bigint")
 
 
 NORM = r"trim(regexp_replace(regexp_replace(lower(regexp_replace({0}, '<[^>]{{1,20}}>', '', 'g')), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -83,7 +98,7 @@ PAIRS = r"""rw AS (SELECT raw_id, conv_id, text AS hyp, ((CAST(start_time[1:2] A
   FROM (SELECT DISTINCT raw_id, conv_id, text, start_time FROM raw_utterance WHERE regexp_full_match(start_time, '[0-9]{2}:[0-9]{2}:[0-9]{2}[.,][0-9]{3}'))),
 pr AS (SELECT * FROM (SELECT utt_id, raw_id, speaker, """ + NORM.format("utt.text") + " AS ref, " + NORM.format("rw.hyp") + r""" AS hyp FROM utt JOIN rw ON rw.conv_id = utt.conv_id AND rw.s = utt.s
   WHERE regexp_full_match(utt.text, '[\x00-\x7F]*') AND regexp_full_match(rw.hyp, '[\x00-\x7F]*')) WHERE ref <> '')"""
-QUERIES = {"normalize_text": normalize_texts, "normalize_all": normalize_all, "cer": cer, "wer": wer, "emission_latency": emission_latency, "token_latency": token_latency}
+QUERIES = {"normalize_text": normalize_texts, "normalize_all": normalize_all, "cer": cer, "cer_all": cer_all, "wer": wer, "emission_latency": emission_latency, "token_latency": token_latency}
 SQL = {
     "normalize_text": "SELECT doc_id, " + NORM.format("text") + r" AS norm FROM documents WHERE regexp_full_match(text, '[\x00-\x7F\n]*', 's')",
     "cer": with_(UTT, PAIRS) + "SELECT speaker, count(*) AS pairs, CAST(sum(levenshtein(ref, hyp)) AS BIGINT) AS edits, CAST(sum(length(ref)) AS BIGINT) AS chars, round(sum(levenshtein(ref, hyp)) / sum(length(ref)), 6) AS cer FROM pr GROUP BY 1",

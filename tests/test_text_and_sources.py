@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from colloquy.functions.text import normalize_text, word_edits
 from colloquy.operators.scoring import match_events
 from colloquy.operators.signal import log_mel
+from colloquy.plans import text
 from colloquy.sources import readers, sinks
 
 
@@ -90,3 +91,14 @@ def test_match_events(spark):
             free.remove(hit)
         want.append((t, hit))
     assert got == sorted(want, key=lambda x: (x[0], x[1] is None, x[1] or 0)) or sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_pairs_of_any_writing(spark, tmp_path, rows):
+    said = [(1, "c", 0, 1.0, 2.0, "Ｓí, señor."), (2, "c", 1, 3.0, 4.0, "안녕 하세요."), (3, "c", 0, 1007.229, 1008.0, "one two"), (4, "c", 0, 5.0, 6.0, "plain one"), (5, "c", 1, 7.0, 8.0, None)]
+    spark.createDataFrame([(*x, None) for x in said], "utt_id bigint, conv_id string, speaker int, start_s double, end_s double, text string, label string").write.parquet(str(tmp_path / "utterance.parquet"))
+    lines = [(11, "c", "sí señor", "00:00:01.000"), (12, "c", "안녕하세요", "3.00"), (13, "c", "one too", "1,007.229"), (14, "c", "plain one", "00:00:05,000"), (15, "c", "no text there", "7.0"), (16, "c", None, "5.0"), (17, "c", "no time", None)]
+    spark.createDataFrame(lines + lines[:1], "raw_id bigint, conv_id string, text string, start_time string").write.parquet(str(tmp_path / "raw_utterance.parquet"))
+    d = str(tmp_path)
+    assert rows(text.wer(spark, d)) == [(1, 11, 0, 2), (2, 12, 2, 2), (3, 13, 1, 2), (4, 14, 0, 2)]
+    assert rows(text.cer_all(spark, d)) == [(0, 3, 1, 24, 0.041667), (1, 1, 0, 5, 0.0)]
+    assert {(x.utt_id, x.raw_id, x.pos) for x in text.token_latency(spark, d).collect()} == {(1, 11, 0), (1, 11, 1), (3, 13, 0), (4, 14, 0), (4, 14, 1)}
