@@ -21,7 +21,7 @@ HANGUL = r"\p{IsHangul}"
 
 
 def normalize_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Normal form of every ASCII document, as its length and hash-free sample: the whole text."""
+    """Normal form of the ASCII documents, which is what its SQL takes; normalize_all has every document."""
     t = table(spark, d, "documents").select("doc_id", "text").where(F.col("text").rlike(ASCII))
     return t.select("doc_id", normalize_ascii(F.col("text")).alias("norm"))
 

@@ -102,3 +102,9 @@ def test_pairs_of_any_writing(spark, tmp_path, rows):
     assert rows(text.wer(spark, d)) == [(1, 11, 0, 2), (2, 12, 2, 2), (3, 13, 1, 2), (4, 14, 0, 2)]
     assert rows(text.cer_all(spark, d)) == [(0, 3, 1, 24, 0.041667), (1, 1, 0, 5, 0.0)]
     assert {(x.utt_id, x.raw_id, x.pos) for x in text.token_latency(spark, d).collect()} == {(1, 11, 0), (1, 11, 1), (3, 13, 0), (4, 14, 0), (4, 14, 1)}
+
+
+def test_normalize_all_takes_every_document(spark, tmp_path, rows):
+    documents = [(1, "Plain, TEXT", "en"), (2, "Ｓí,　SEÑOR.", "es"), (3, "안녕 하세요.", "ko"), (4, "", None), (5, None, "en")]
+    spark.createDataFrame(documents, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert rows(text.normalize_all(spark, str(tmp_path))) == [(1, "plain text"), (2, "sí señor"), (3, "안녕하세요"), (4, ""), (5, None)]
