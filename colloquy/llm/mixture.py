@@ -83,6 +83,22 @@ def mix(rows: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
     return sums.where(times > 0).select("id", "source", "size", F.explode(F.sequence(F.lit(1), times)).alias("copy"))
 
 
+def verified(rows: DataFrame, targets: DataFrame, mixed: DataFrame) -> DataFrame:
+    """(source, passes, is_short) of the plan, held against the mix; a source that the mix doesn't bear out is an error.
+
+    A source comes out within one record of its expected copies. If it isn't short, every record of
+    ``rows`` comes out as often as the plan has passes, or once less; if it is, as often as it has passes.
+    """
+    planned = rows.sparkSession.createDataFrame([(p.source, p.passes, int(p.short), p.copies) for p in plan(rows, targets)], "source string, passes int, is_short int, copies bigint")
+    times = mixed.groupBy("id", "source", "size").agg(F.count("*").alias("times"))
+    out = F.coalesce("times", F.lit(0))
+    each = rows.join(times, ["id", "source", "size"], "left").groupBy("source").agg(F.min(out).alias("least"), F.max(out).alias("most"), F.sum(out).alias("out"), F.count("*").alias("n"))
+    near = F.abs(F.col("out") * SCALE - F.col("copies") * F.col("n")) < SCALE
+    borne_out = F.col("n").isNull() | near & (F.col("most") <= F.col("passes")) & (F.col("least") >= F.col("passes") - 1 + F.col("is_short"))
+    wrong = F.raise_error(F.concat(F.lit("the mix doesn't bear out the plan of "), "source"))
+    return planned.join(each, "source", "left").select("source", F.when(borne_out, F.col("passes")).otherwise(wrong).cast("int").alias("passes"), "is_short")
+
+
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """Per source: records and size in the mix, share reached and share asked for."""
     got = mixed.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.max("copy").alias("most_copies"))

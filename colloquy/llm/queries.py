@@ -9,7 +9,7 @@ from colloquy.llm import sql
 from colloquy.llm.byte_pairs import encode_texts
 from colloquy.llm.chunking import cut_items, quiet_ends
 from colloquy.llm.identity import id_key, participant_id
-from colloquy.llm.mixture import mix, plan_table, records, shares
+from colloquy.llm.mixture import mix, records, shares, verified
 from colloquy.llm.nearest import match_nearest
 from colloquy.llm.packing import pack
 from colloquy.llm.shared_spans import SharedSpans
@@ -86,8 +86,9 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often the mix goes through each source, and whether that is too little."""
-    return plan_table(_records(spark, sf_dir), table(spark, sf_dir, "mix_target"))
+    """How often the mix goes through each source, and whether that is too little, held against the mix itself."""
+    rows, targets = checkpointed(_records(spark, sf_dir)), table(spark, sf_dir, "mix_target")
+    return verified(rows, targets, mix(rows, targets))
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,3 +99,23 @@ def test_mixture(spark):
     assert sorted(x.source for x in shares(m, targets).collect()) == ["absent", "big", "small-one"]
     nothing = records(df.where("false"), "id", "source", "ms", targets)
     assert {(x.passes, x.is_short) for x in plan_table(nothing, targets).collect()} == {(0, 0)} and mix(nothing, targets).count() == 0
+
+
+def test_p7_found_goes_through_the_mix(spark, monkeypatch, tmp_path, rows):
+    from colloquy.llm import queries
+
+    r = random.Random(4)
+    conversations = [(f"c{i}", r.choice(["big", "big", "big", "small"]), float(r.randrange(1, 900))) for i in range(300)]
+    spark.createDataFrame(conversations, "id string, source string, duration double").write.parquet(str(tmp_path / "conversation.parquet"))
+    spark.createDataFrame([("big", 60, 3), ("small", 40, 1), ("none", 0, 1)], "source string, weight_pct int, max_repeat int").write.parquet(str(tmp_path / "mix_target.parquet"))
+    own = {s: sum(int(d * 1000) for _, x, d in conversations if x == s) for s in ("big", "small", "none")}
+    total = sum(own.values())
+    want = []
+    for s, weight, most in (("big", 60, 3), ("small", 40, 1), ("none", 0, 1)):
+        passes = next((k for k in range(most + 1) if k * own[s] * 100 >= weight * total), most)
+        want.append((s, passes, int(most * own[s] * 100 < weight * total)))
+    assert rows(queries.p7_found(spark, str(tmp_path))) == sorted(want, key=repr)
+    for spoilt in (lambda m: m.where("hash(id) % 10 <> 0"), lambda m: m.union(m).union(m)):
+        monkeypatch.setattr(queries, "mix", lambda a, b, f=spoilt: f(mix(a, b)))
+        with pytest.raises(Exception, match="bear out"):
+            queries.p7_found(spark, str(tmp_path)).collect()
