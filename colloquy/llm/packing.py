@@ -56,18 +56,23 @@ def pack(items: DataFrame, key: str, tokens: str, capacity: int, max_segments: i
     """Pack items into containers.
 
     ``items``: ``key`` (bigint), its ``tokens`` and optionally its ``loss`` tokens (all tokens if not
-    given). Result: container (string), ``key``, piece_no (from 1), start, n_tokens, n_loss. An item sits
-    whole in one container unless it exceeds the capacity; then all but its last piece
-    fill a container each, and the last is packed like an item. Items without a token, or with a null, are
-    left out; repeated rows count once.
+    given), taken as spread evenly over the item. Result: container (string), ``key``, piece_no (from 1), start,
+    n_tokens, n_loss. An item sits whole in one container unless it exceeds the capacity or ``max_loss``; then it
+    is cut into pieces of the greatest width that keeps every piece within both, all as wide but the last, and
+    each is packed like an item. No loss is dropped: n_loss sums up to the item's. Items without a token,
+    or with a null, are left out; repeated rows count once.
     """
     max_loss = max_loss or capacity
     n = F.col("n")
     rows = items.select(F.col(key).cast("bigint").alias("id"), F.col(tokens).cast("bigint").alias("n"), (F.col(loss) if loss else F.col(tokens)).cast("bigint").alias("loss")).dropna().where("n > 0").distinct()
-    pieces = rows.select("id", n, "loss", F.explode(F.sequence(F.lit(0), ((n - 1) / capacity).cast("int"))).alias("p"))
-    size = F.least(F.lit(capacity), n - F.col("p") * capacity)
-    part_loss = F.least(size, F.floor((F.col("p") * capacity + size) * F.col("loss") / n) - F.floor(F.col("p") * capacity * F.col("loss") / n)).cast("int")
-    pieces = checkpointed(pieces.select("id", (F.col("p") + 1).alias("piece_no"), (F.col("p") * capacity).cast("int").alias("start"), size.cast("int").alias("size"), F.least(part_loss, F.lit(max_loss)).alias("loss")))
+    rows = rows.select("id", "n", F.least("loss", "n").alias("loss"))
+    # the widest piece of which no stretch bears more than max_loss: width * loss <= max_loss * n
+    width = F.when(F.col("loss") > 0, F.least(F.lit(capacity).cast("bigint"), F.floor(F.lit(max_loss).cast("bigint") * n / F.col("loss")))).otherwise(capacity).cast("bigint")
+    w, p = F.col("w"), F.col("p")
+    pieces = rows.withColumn("w", width).select("id", n, "loss", w, F.explode(F.sequence(F.lit(0), ((n - 1) / w).cast("int"))).alias("p"))
+    size = F.least(w, n - p * w)
+    part_loss = (F.floor((p * w + size) * F.col("loss") / n) - F.floor(p * w * F.col("loss") / n)).cast("int")
+    pieces = checkpointed(pieces.select("id", (p + 1).alias("piece_no"), (p * w).cast("int").alias("start"), size.cast("int").alias("size"), part_loss.alias("loss")))
     shards = max(1, -(-pieces.count() // SHARD_ITEMS))
     limits = np.array([capacity, max_segments, max_loss])
 

@@ -60,6 +60,21 @@ def test_pack(spark):
     assert pack(spark.createDataFrame([], "id int, n int"), "id", "n", 100).count() == 0
 
 
+def test_pack_within_max_loss(spark):
+    items = [(1, 100, 90), (2, 100, 40), (3, 80, 41), (4, 250, 250), (5, 250, 10), (6, 30, 0), (7, 99, 3), (8, 1, 1), (9, 1000, 401)]
+    got = pack(spark.createDataFrame(items, "id int, n int, l int"), "id", "n", 100, loss="l", max_loss=40).collect()
+    pieces, used = {}, {}
+    for x in sorted(got, key=lambda x: (x.id, x.piece_no)):
+        pieces.setdefault(x.id, []).append((x.start, x.n_tokens, x.n_loss))
+        a, b = used.get(x.container, (0, 0))
+        used[x.container] = (a + x.n_tokens, b + x.n_loss)
+    for i, n, loss in items:
+        assert (sum(p[1] for p in pieces[i]), sum(p[2] for p in pieces[i])) == (n, loss)
+        assert [p[0] for p in pieces[i]] == [sum(p[1] for p in pieces[i][:k]) for k in range(len(pieces[i]))]
+    assert {i: len(pieces[i]) for i in (2, 5, 6, 7, 8)} == {2: 1, 5: 3, 6: 1, 7: 1, 8: 1}
+    assert max(a for a, _ in used.values()) <= 100 and max(b for _, b in used.values()) <= 40
+
+
 def windows(t):
     return {t[i : i + SPAN] for i in range(len(t) - SPAN + 1)}
 
