@@ -64,7 +64,7 @@ def conversation_groups(conversation: DataFrame, utterance: DataFrame) -> DataFr
     links = checkpointed(by_meta.union(by_voice).where("b is not null").union(itself).distinct())
     labels = checkpointed(components(links))
     ids = named.select(F.col("id").alias("conv_id"), node.alias("node")).distinct().join(labels, "node").select("conv_id", "root")
-    people = labels.where("node like 'p|%'").select(F.substring("node", 3, 100).alias("name"), "root")
+    people = labels.where("node like 'p|%'").select(F.expr("substring(node, 3)").alias("name"), "root")
     names = ids.select(F.col("conv_id").alias("name"), "root").union(people).groupBy("root").agg(F.min("name").alias("group_id"))
     return ids.join(names, "root").select("conv_id", "group_id")
 

@@ -119,3 +119,12 @@ def test_p7_found_goes_through_the_mix(spark, monkeypatch, tmp_path, rows):
         monkeypatch.setattr(queries, "mix", lambda a, b, f=spoilt: f(mix(a, b)))
         with pytest.raises(Exception, match="bear out"):
             queries.p7_found(spark, str(tmp_path)).collect()
+
+
+def test_groups_of_long_ids(spark):
+    from colloquy.llm.queries import conversation_groups
+
+    a, b = "P" + "1" * 120 + "2", "P" + "1" * 120 + "3"
+    conversations = spark.createDataFrame([("c1", {"spk1": a}), ("c2", {"spk1": b}), ("c3", {"spk2": a})], "id string, meta map<string,string>")
+    voices = spark.createDataFrame([], "conv_id string, speaker_id string")
+    assert {x.conv_id: x.group_id for x in conversation_groups(conversations, voices).collect()} == {"c1": a, "c2": b, "c3": a}
