@@ -7,6 +7,9 @@ in chunk q + max(b - q) over the tokens of equal r up to it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -83,3 +86,39 @@ def bad_utterances(utterances: DataFrame, tokens: DataFrame, max_same: int = 8,
     x = utterances.select("utt_id", "s", "e").join(same, "utt_id", "left")
     rate = F.col("n") * 1000 > max_rate * F.greatest(F.col("e") - F.col("s"), F.lit(100))
     return x.select("utt_id", F.when(F.col("n").isNull(), "empty").when(F.col("same") > max_same, "same_time").when(rate, "rate").alias("reason")).where("reason is not null")
+
+
+def token_ends(text: str, items: list[tuple[str, int]], tokens: list[tuple[int, int]]) -> list[int]:
+    """End of each token, a stretch of ``text``: the latest end of the items that it overlaps, else the end of the token before, else 0.
+
+    Items are looked for one after the other; one that isn't found counts where the last one ended.
+    """
+    spans, cur = [], 0
+    for word, end in items:
+        at = text.find(word, cur)
+        at = cur if at < 0 else at
+        cur = at + len(word)
+        spans.append((at, cur, end))
+    out: list[int] = []
+    for a, b in tokens:
+        over = [end for i, j, end in spans if i < b and j > a]
+        out.append(max(over) if over else out[-1] if out else 0)
+    return out
+
+
+def token_char_span_align(rows: DataFrame, key: str) -> DataFrame:
+    """Aligned items to ends of tokens: ``key`` (bigint), pos, end_ms.
+
+    ``rows``: key, text, items array<struct<word, end_ms>> in order, tokens array<struct<a, b>>, character offsets of the tokens.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k, text, items, tokens in b[["key", "text", "items", "tokens"]].itertuples(index=False):
+                ends = token_ends(text, [(x["word"], int(x["end_ms"])) for x in items], [(x["a"], x["b"]) for x in tokens])
+                out.extend((k, pos, end) for pos, end in enumerate(ends))
+            yield pd.DataFrame(out, columns=["key", "pos", "end_ms"])
+
+    x = rows.select(F.col(key).alias("key"), "text", "items", "tokens")
+    return x.mapInPandas(run, "key bigint, pos int, end_ms bigint").withColumnRenamed("key", key)

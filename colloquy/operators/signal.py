@@ -30,6 +30,22 @@ def hysteresis(frames: DataFrame, keys: list[str], on_floor: float = -40, off_fl
     return x.withColumn("on", F.coalesce(F.last(state, ignorenulls=True).over(w), F.lit(0))).drop("floor")
 
 
+def channel_overlap_leak(frames: DataFrame, keys: list[str], on_db: float = -40, first: int = 3000, least: int = 10) -> DataFrame:
+    """How well two channels are kept apart: keys, leak, corr, overlap, ratio_a, ratio_b.
+
+    ``frames``: keys, f, a, b, the blocks of samples of either channel. leak: mean of b's less a's dB where only a is active, null
+    unless that are more than ``least`` frames; corr: of the samples of the ``first`` frames (60 s of 20 ms), null if a channel never changes; overlap: frames with
+    both active over frames with any.
+    """
+    x = frames.withColumns({"da": energy_db(F.col("a")), "db": energy_db(F.col("b"))}).withColumns({"va": F.col("da") > on_db, "vb": F.col("db") > on_db})
+    only_a, share = F.col("va") & ~F.col("vb"), lambda c: F.avg(F.col(c).cast("int"))
+    leak = F.when(F.count_if(only_a) > least, F.avg(F.when(only_a, F.col("db") - F.col("da"))))
+    overlap = F.count_if(F.col("va") & F.col("vb")) / F.greatest(F.lit(1), F.count_if(F.col("va") | F.col("vb")))
+    each = x.groupBy(*keys).agg(leak.alias("leak"), overlap.alias("overlap"), share("va").alias("ratio_a"), share("vb").alias("ratio_b"))
+    samples = frames.where(F.col("f") < first).select(*keys, F.explode(F.arrays_zip("a", "b")).alias("s")).select(*keys, F.col("s.a").cast("double").alias("a"), F.col("s.b").cast("double").alias("b"))
+    return each.join(samples.groupBy(*keys).agg((F.covar_pop("a", "b") / F.nullif(F.stddev_pop("a") * F.stddev_pop("b"), F.lit(0.0))).alias("corr")), keys, "left").select(*keys, "leak", "corr", "overlap", "ratio_a", "ratio_b")
+
+
 def pool_mean(vectors: DataFrame, keys: list[str], factor: int) -> DataFrame:
     """Mean vector of each ``factor`` frames (keys, g, pos, v); an incomplete last group is dropped."""
     x = vectors.select(*keys, F.floor(F.col("f") / factor).cast("bigint").alias("g"), F.posexplode("vec").alias("pos", "v"))

@@ -89,9 +89,18 @@ st AS (SELECT a.*, x.max_backlog FROM (SELECT conv_id, m, any_value(n_chunks) AS
 BAD = """sm AS (SELECT utt_id, max(k) AS same, sum(k) AS n FROM (SELECT utt_id, end_ms, count(*) AS k FROM tok GROUP BY 1, 2) GROUP BY 1),
 bad AS (SELECT * FROM (SELECT utt.utt_id, CASE WHEN n IS NULL THEN 'empty' WHEN same > 8 THEN 'same_time' WHEN n * 1000 > 25 * greatest(e - s, 100) THEN 'rate' END AS reason FROM utt LEFT JOIN sm ON sm.utt_id = utt.utt_id) WHERE reason IS NOT NULL)"""
 TAG = "tg AS (SELECT *, (e < n_chunks AND (lag(speaker) OVER w IS NULL OR lag(speaker) OVER w <> speaker)) AS tag FROM sc WINDOW w AS (PARTITION BY conv_id, m ORDER BY i))"
+def token_char_span_align(spark: SparkSession, d: str) -> DataFrame:
+    """Ends of the tokens of each utterance, pieces of four characters, from the ends of its words."""
+    words = tokens(spark, d).groupBy("utt_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "end_ms"))).alias("items"))
+    u = utterances(spark, d).select("utt_id", "text").where("text <> ''")
+    n = F.length("text")
+    pieces = F.transform(F.sequence(F.lit(0), n - 1, F.lit(4)), lambda a: F.struct(a.alias("a"), F.least(a + 4, n).alias("b")))
+    return ops.token_char_span_align(u.join(words, "utt_id").withColumn("tokens", pieces), "utt_id")
+
+
 QUERIES = {
     "interleave_emissions": interleave_emissions, "interleave_stats": interleave_stats, "interleave_budget_sweep": interleave_budget_sweep, "emission_histogram": emission_histogram,
-    "model_sequence": model_sequence, "bad_utterances": bad_utterances, "align_qc_report": align_qc_report, "token_rate": token_rate,
+    "model_sequence": model_sequence, "bad_utterances": bad_utterances, "align_qc_report": align_qc_report, "token_rate": token_rate, "token_char_span_align": token_char_span_align,
 }
 SQL = {
     "interleave_emissions": with_(UTT, TOK, sched("(4)"), TAG) + "SELECT conv_id, tid, b, e, tag FROM tg",

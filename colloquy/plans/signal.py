@@ -33,6 +33,15 @@ def energy_vad(spark: SparkSession, d: str) -> DataFrame:
     return remove_short(seg, n, 10, 5)
 
 
+def channel_overlap_leak(spark: SparkSession, d: str) -> DataFrame:
+    """Leak, correlation and overlap of two channels: vectors of even and odd stretches of 50, every other dozen of the first and every other eight of the second damped by 60 dB."""
+    v = vectors(spark, d)
+    damped = lambda n: F.transform("vec", lambda x: x.cast("double") / F.when(F.floor(F.col("f") / n) % 2 == 1, 1000).otherwise(1))
+    side = lambda k, n, out: v.where(F.col("conv") % 2 == k).select(F.floor(F.col("conv") / 2).alias("conv"), "f", damped(n).alias(out))
+    got = ops.channel_overlap_leak(side(0, 12, "a").join(side(1, 8, "b"), ["conv", "f"]), ["conv"])
+    return got.select("conv", *(F.round(c, 4).alias(c) for c in ("leak", "corr", "overlap", "ratio_a", "ratio_b")))
+
+
 def feature_pool_mean(spark: SparkSession, d: str) -> DataFrame:
     return ops.pool_mean(vectors(spark, d), ["conv"], 4).select("conv", "g", "pos", F.round("v", 5).alias("v"))
 
@@ -90,7 +99,7 @@ VEC = "vec AS (SELECT vec_id // 50 AS conv, vec_id % 50 AS f, embedding AS vec,
 DB = "db AS (SELECT conv, f, round(10 * log10(list_sum(list_transform(vec, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) / len(vec) + 1e-10), 4) AS db FROM vec)"
 PROB = "pb AS (SELECT conv_id, n, f, (f * 7919 + length(conv_id) * 104729 + n * 31) % 1000 AS p FROM (SELECT conv_id, t // 4 AS n, unnest(generate_series(0, t // 4 - 1)) AS f FROM len WHERE t >= 4))"
 QUERIES = {
-    "energy_db": energy_db, "energy_vad": energy_vad, "feature_pool_mean": feature_pool_mean, "feature_nearest": feature_nearest, "cosine_eval": cosine_eval, "rank_diagnostics": rank_diagnostics,
+    "energy_db": energy_db, "energy_vad": energy_vad, "channel_overlap_leak": channel_overlap_leak, "feature_pool_mean": feature_pool_mean, "feature_nearest": feature_nearest, "cosine_eval": cosine_eval, "rank_diagnostics": rank_diagnostics,
     "lookahead_frames": lookahead_frames, "infer_stitch_owner": infer_stitch_owner, "lookahead_fold": lookahead_fold,
 }
 SQL = {

@@ -7,8 +7,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import normalize_text, word_edits
+from colloquy.operators.interleave import token_char_span_align, token_ends
 from colloquy.operators.scoring import match_events
-from colloquy.operators.signal import log_mel
+from colloquy.operators.signal import channel_overlap_leak, log_mel
 from colloquy.plans import text
 from colloquy.sources import readers, sinks
 
@@ -108,3 +109,19 @@ def test_normalize_all_takes_every_document(spark, tmp_path, rows):
     documents = [(1, "Plain, TEXT", "en"), (2, "Ｓí,　SEÑOR.", "es"), (3, "안녕 하세요.", "ko"), (4, "", None), (5, None, "en")]
     spark.createDataFrame(documents, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     assert rows(text.normalize_all(spark, str(tmp_path))) == [(1, "plain text"), (2, "sí señor"), (3, "안녕하세요"), (4, ""), (5, None)]
+
+
+def test_channel_overlap_leak(spark):
+    loud, soft = [1.0, -1.0], [0.0001, 0.0001]
+    frames = [("x", f, loud if f < 15 else soft, loud if f in (0, 1) or f > 17 else soft) for f in range(20)] + [("y", f, loud, loud if f > 9 else soft) for f in range(12)]
+    got = {x.k: x for x in channel_overlap_leak(spark.createDataFrame(frames, "k string, f int, a array<double>, b array<double>"), ["k"], first=2).collect()}
+    x, y = got["x"], got["y"]
+    assert abs(x.leak + 10 * np.log10(1 / (1e-8 + 1e-10) * (1 + 1e-10))) < 1e-6 and y.leak is None and y.corr is None  # ten frames are too few
+    assert abs(x.corr - 1) < 1e-9 and (x.overlap, x.ratio_a, x.ratio_b) == (2 / 17, 0.75, 0.2)
+
+
+def test_token_char_span_align(spark, rows):
+    items = [("ab", 100), ("nowhere", 200), ("cd", 300)]
+    assert token_ends("..ab cd", [("ab", 100), ("cd", 300)], [(0, 1), (1, 3), (3, 6), (4, 5), (5, 7)]) == [0, 100, 300, 300, 300]
+    df = spark.createDataFrame([(7, "ab cd", items, [(0, 2), (2, 3), (3, 5)])], "u bigint, text string, items array<struct<word string, end_ms bigint>>, tokens array<struct<a int, b int>>")
+    assert rows(token_char_span_align(df, "u")) == [(7, 0, 100), (7, 1, 200), (7, 2, 200)]
