@@ -1,9 +1,10 @@
 """One mix of several sources in target shares, by systematic sampling.
 
 Every record of a source is expected the same number of times (target over what the source
-has, at most its cap). The expected copies are summed along the source, one random
+has, at most its cap). The expected copies are summed along the source in order of size, one random
 offset is added, and a record comes out once for each whole number its stretch
-crosses; so each source comes within one record of its target.
+crosses. Between two neighbouring crossings sizes only rise, so the size that comes out
+differs from the one expected by no more than one copy of the source's largest record.
 """
 
 from __future__ import annotations
@@ -70,13 +71,13 @@ def plan_table(rows: DataFrame, targets: DataFrame) -> DataFrame:
 def mix(rows: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
     """The mix: (id, source, size, copy), one row for each time a record comes out.
 
-    ``rows`` as from records(). The order along a source, and its offset, follow from ``seed``.
+    ``rows`` as from records(). A source goes in order of size, equal sizes in an order that follows from ``seed``, as does its offset.
     """
     dice = Random(seed)
     rates = [(p.source, p.copies, dice.randrange(SCALE)) for p in plan(rows, targets)]
     spark = rows.sparkSession
     rate = F.broadcast(spark.createDataFrame(rates, "source string, copies bigint, shift bigint"))  # a row for each target
-    ranked = rank_within(rows.withColumn("h", F.xxhash64("id", F.lit(seed))), "source", [F.col("h"), F.col("id")])
+    ranked = rank_within(rows.withColumn("h", F.xxhash64("id", F.lit(seed))), "source", [F.col("size"), F.col("h"), F.col("id")])
     sums = ranked.join(rate, "source")
     edge = lambda i: F.shiftright(i * F.col("copies") + F.col("shift"), 20)
     times = (edge(F.col("rank") + 1) - edge(F.col("rank"))).cast("int")
@@ -99,11 +100,17 @@ def verified(rows: DataFrame, targets: DataFrame, mixed: DataFrame) -> DataFrame
     return planned.join(each, "source", "left").select("source", F.when(borne_out, F.col("passes")).otherwise(wrong).cast("int").alias("passes"), "is_short")
 
 
-def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per source: records and size in the mix, share reached and share asked for."""
+def shares(rows: DataFrame, mixed: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per source: records and size in the mix, its share of the mix and of T (the size of all ``rows``, which the mix is to have), the share asked for, and what is wanting of it.
+
+    A source of which nothing comes out has 0; without rows shares are null.
+    """
     got = mixed.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.max("copy").alias("most_copies"))
-    total = got.agg(F.sum("size").alias("total"))
+    total = got.agg(F.sum("size").alias("total")).join(rows.agg(F.sum("size").alias("asked")), F.lit(True))  # one row each
     wanted = targets.select("source", "weight_pct").distinct()
     every = wanted.join(got, "source", "left").join(F.broadcast(total), F.lit(True), "left")  # one row
-    share = F.round(100 * F.coalesce("size", F.lit(0)) / F.col("total"), 4)
-    return every.select("source", "weight_pct", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), share.alias("share_pct"))
+    size = F.coalesce("size", F.lit(0))
+    return every.select(
+        "source", "weight_pct", F.coalesce("n", F.lit(0)).alias("n"), size.alias("size"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
+        F.round(100 * size / F.col("total"), 4).alias("share_pct"), F.round(100 * size / F.col("asked"), 4).alias("share_of_t_pct"), F.round(F.col("weight_pct") * F.col("asked") / 100 - size).cast("bigint").alias("missing_size"),
+    )

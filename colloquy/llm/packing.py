@@ -5,11 +5,13 @@ container is filled by the dot-product heuristic: of all items that still fit, t
 demand has the largest dot product with the room left, each as a part of its
 limit. Items of equal demand are one class, so a step looks at classes, never at
 items. Items are dealt to shards of bounded size by a hash of their id; a shard is
-packed in one task and wastes no more than its last containers.
+packed in one task, and the containers that it can't fill are packed again with those of other shards.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from colloquy.tables import checkpointed
 
-SHARD_ITEMS = 100_000
+OPEN, OPEN_LEAST, OPEN_SHARE, FAN = 0.98, 16, 20, 32  # what is packed again with other shards
 
 
 def fill(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
@@ -52,7 +54,7 @@ def fill(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return out
 
 
-def pack(items: DataFrame, key: str, tokens: str, capacity: int, max_segments: int = 512, loss: str | None = None, max_loss: int | None = None) -> DataFrame:
+def pack(items: DataFrame, key: str, tokens: str, capacity: int, max_segments: int = 512, loss: str | None = None, max_loss: int | None = None, shard_items: int = 20_000) -> DataFrame:
     """Pack items into containers.
 
     ``items``: ``key`` (bigint), its ``tokens`` and optionally its ``loss`` tokens (all tokens if not
@@ -61,6 +63,11 @@ def pack(items: DataFrame, key: str, tokens: str, capacity: int, max_segments: i
     is cut into pieces of the greatest width that keeps every piece within both, all as wide but the last, and
     each is packed like an item. No loss is dropped: n_loss sums up to the item's. Items without a token,
     or with a null, are left out; repeated rows count once.
+
+    Pieces are dealt to shards of about ``shard_items``, one task each. The containers of a shard that stay
+    well short of full (below OPEN of the capacity, at most OPEN_LEAST and one in OPEN_SHARE of the shard's) are opened again and their
+    pieces packed together with those of FAN other shards, level by level until one shard is left, so
+    that dealing costs a container at most over the whole table and not one a shard.
     """
     max_loss = max_loss or capacity
     n = F.col("n")
@@ -73,15 +80,53 @@ def pack(items: DataFrame, key: str, tokens: str, capacity: int, max_segments: i
     size = F.least(w, n - p * w)
     part_loss = (F.floor((p * w + size) * F.col("loss") / n) - F.floor(p * w * F.col("loss") / n)).cast("int")
     pieces = checkpointed(pieces.select("id", (p + 1).alias("piece_no"), (p * w).cast("int").alias("start"), size.cast("int").alias("size"), part_loss.alias("loss")))
-    shards = max(1, -(-pieces.count() // SHARD_ITEMS))
+    shards = max(1, -(-pieces.count() // shard_items))
     limits = np.array([capacity, max_segments, max_loss])
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["id", "piece_no"], kind="stable")
-        demand = np.column_stack([g["size"], np.ones(len(g), np.int64), g["loss"]]).astype(np.int64)
-        names = f"{int(g['shard'].iloc[0])}-" + pd.Series(fill(demand, limits)).astype(str)
-        return pd.DataFrame({"container": names.to_numpy(), "id": g["id"].to_numpy(), "piece_no": g["piece_no"].to_numpy(), "start": g["start"].to_numpy(), "n_tokens": g["size"].to_numpy(), "n_loss": g["loss"].to_numpy()})
+    def packer(level: int, last: bool):  # noqa: ANN202
+        def one(g: pd.DataFrame) -> pd.DataFrame:
+            g = g.sort_values(["id", "piece_no"], kind="stable")
+            demand = np.column_stack([g["size"], np.ones(len(g), np.int64), g["loss"]]).astype(np.int64)
+            into = fill(demand, limits)
+            used = np.zeros((into.max() + 1, 3), np.int64)
+            np.add.at(used, into, demand)
+            full = (used / limits).max(axis=1)
+            again = np.zeros(len(used), bool)
+            if not last:
+                most = max(OPEN_LEAST, len(used) // OPEN_SHARE)
+                least_full = np.argsort(full, kind="stable")[:most]
+                again[least_full[full[least_full] < OPEN]] = True
+            shard = int(g["shard"].iloc[0])
+            names = f"{level}-{shard}-" + pd.Series(into).astype(str)
+            out = pd.DataFrame({"container": names.to_numpy(), "id": g["id"].to_numpy(), "piece_no": g["piece_no"].to_numpy(), "start": g["start"].to_numpy(), "n_tokens": g["size"].to_numpy(), "n_loss": g["loss"].to_numpy()})
+            out["next"] = np.where(again[into], shard // FAN, -1)
+            return out
+
+        return one
+
+    waiting = pieces.select(F.pmod(F.xxhash64("id", "piece_no"), F.lit(shards)).cast("int").alias("shard"), "id", "piece_no", "start", "size", "loss")
+    done, level = [], 0
+    while True:
+        got = checkpointed(waiting.groupBy("shard").applyInPandas(packer(level, shards == 1), "container string, id bigint, piece_no int, start int, n_tokens int, n_loss int, next int"))
+        done.append(got.where("next < 0").drop("next"))
+        if shards == 1:
+            break
+        waiting = got.where("next >= 0").select(F.col("next").alias("shard"), "id", "piece_no", "start", F.col("n_tokens").alias("size"), F.col("n_loss").alias("loss"))
+        shards, level = -(-shards // FAN), level + 1
+    return reduce(DataFrame.unionByName, done).withColumnRenamed("id", key)
 
-    shard = F.pmod(F.xxhash64("id", "piece_no"), F.lit(shards)).cast("int").alias("shard")
-    packed = pieces.select(shard, "id", "piece_no", "start", "size", "loss").groupBy("shard").applyInPandas(one, "container string, id bigint, piece_no int, start int, n_tokens int, n_loss int")
-    return packed.withColumnRenamed("id", key)
+
+def fill_report(packed: DataFrame, capacity: int, max_segments: int, max_loss: int) -> DataFrame:
+    """One row: containers, tokens, the least number of containers the limits allow, share of tokens, segments and loss that is used, and the most of each in a container.
+
+    No containers give one row of nought and nulls.
+    """
+    each = packed.groupBy("container").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("s"), F.sum("n_loss").alias("l"))
+    total = each.agg(*(F.sum(c).alias(c) for c in "tsl"), *(F.max(c).alias(f"max_{c}") for c in "tsl"), F.count("*").alias("n"))
+    limits = {"t": capacity, "s": max_segments, "l": max_loss}
+    used = lambda c: F.round(100 * F.col(c) / (F.col("n") * limits[c]), 4)
+    floor = F.greatest(*(F.ceil(F.col(c) / m) for c, m in limits.items()))
+    return total.select(
+        F.col("n").alias("containers"), F.coalesce("t", F.lit(0)).alias("n_tokens"), F.coalesce("l", F.lit(0)).alias("n_loss"), F.coalesce(floor, F.lit(0)).alias("least_containers"),
+        used("t").alias("token_pct"), used("s").alias("segment_pct"), used("l").alias("loss_pct"), F.col("max_t").alias("max_tokens"), F.col("max_s").alias("max_segments"), F.col("max_l").alias("max_loss"),
+    )

@@ -11,10 +11,10 @@ from colloquy.llm.chunking import cut_items, quiet_ends
 from colloquy.llm.identity import id_key, participant_id
 from colloquy.llm.mixture import mix, records, shares, verified
 from colloquy.llm.nearest import match_nearest
-from colloquy.llm.packing import pack
+from colloquy.llm.packing import fill_report, pack
 from colloquy.llm.shared_spans import SharedSpans
 from colloquy.llm.splits import assign_splits, components
-from colloquy.llm.transcript import participants, speaker_turns
+from colloquy.llm.transcript import caption_lines, participants, speaker_turns
 from colloquy.llm.visual_form import look_alike_pairs
 from colloquy.tables import checkpointed, millis, table, usable_utterances
 
@@ -48,6 +48,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speaker_turns(table(spark, sf_dir, "raw_utterance"), participants(table(spark, sf_dir, "conversation")), forms)
 
 
+def p5_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of the transcripts among the documents: doc_id, speaker (0 or 1), first and last line, n_words. Who is named first is speaker 0; a third name belongs to neither."""
+    forms = [r["form"] for r in table(spark, sf_dir, "filler_item").select("form").collect()]  # fixed: 15 rows
+    lines = caption_lines(table(spark, sf_dir, "documents").select("doc_id", "text").where("doc_id is not null"), "doc_id", "text")
+    numbered = F.when(F.col("speaker_no") < 2, (F.col("speaker_no") + 1).cast("string"))
+    rows = lines.select(F.col("doc_id").cast("string").alias("conv_id"), F.col("line_no").alias("raw_id"), numbered.alias("speaker"), F.coalesce("start_time", F.col("line_no").cast("string")).alias("start_time"), F.lit(None).cast("string").alias("label"), "text")
+    nobody = rows.select("conv_id", F.lit(None).cast("string").alias("spk1"), F.lit(None).cast("string").alias("spk2")).limit(0)
+    turns = speaker_turns(rows, nobody, forms)
+    return turns.select(F.col("conv_id").cast("bigint").alias("doc_id"), "speaker", F.col("first_raw_id").alias("first_line"), F.col("last_raw_id").alias("last_line"), "n_words")
+
+
 def conversation_groups(conversation: DataFrame, utterance: DataFrame) -> DataFrame:
     """conv_id, group_id: conversations tied by a participant, a recording or a derivation."""
     conv = lambda c: F.concat(F.lit("c|"), F.coalesce(id_key(c), F.concat(F.lit("="), c)))
@@ -98,7 +109,8 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shares that the mix reaches."""
-    return shares(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_target"))
+    rows, targets = checkpointed(_records(spark, sf_dir)), table(spark, sf_dir, "mix_target")
+    return shares(rows, mix(rows, targets), targets)
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +124,23 @@ def p9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(sizes, "doc_id", "n_tokens", 2048)
 
 
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of p9_pack are, and how many there must be at least."""
+    return fill_report(p9_pack(spark, sf_dir), 2048, 512, 2048)
+
+
+def p9_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as examples to train answers on, in containers of 2,048 tokens, 8 segments and 1,024 tokens that bear loss.
+
+    Of a document with lines of ``Speaker 2:`` those lines bear loss (their part of the characters, as a part of the tokens), of others all of it.
+    """
+    answers = F.array_join(F.regexp_extract_all("text", F.lit(r"(?m)^Speaker 2:.*$"), F.lit(0)), "\n")
+    sizes = encode_texts(table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"), F.length(answers).alias("k"), "text"), "text")
+    loss = F.when(F.col("k") > 0, F.ceil(F.size("ids") * F.col("k") / F.col("n"))).otherwise(F.size("ids"))
+    sizes = checkpointed(sizes.select("doc_id", F.size("ids").alias("n_tokens"), loss.alias("n_loss")))
+    return pack(sizes, "doc_id", "n_tokens", 2048, 8, "n_loss", 1024)
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents that have 240 consecutive characters in common."""
     pairs = SharedSpans(table(spark, sf_dir, "documents"), "doc_id", "text").pairs()
@@ -124,5 +153,5 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_chars"), F.col("shared").alias("n_shared"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_ids": p8_ids, "p9_pack": p9_pack, "p10_found": p10_found, "p10_shared": p10_shared}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_documents": p5_documents, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_ids": p8_ids, "p9_pack": p9_pack, "p9_fill": p9_fill, "p9_dialogues": p9_dialogues, "p10_found": p10_found, "p10_shared": p10_shared}
 SQL = sql.SQL

@@ -1,9 +1,9 @@
 """Splits that never part related records.
 
 Links between records and what they share are united by a distributed union-find:
-every task makes a forest of its own links, forests are merged level by level
-into fewer tasks, and where all links are too many for one task, rounds of
-large-star and small-star contraction finish the work over many tasks. Groups are then
+every task makes a forest of its own links and forests are merged level by level
+into fewer tasks, at any number of links. Only where the forests of one merge can't be held
+together do rounds of large-star and small-star contraction finish the work. Groups are then
 given to splits largest first, each to the split furthest below its target.
 """
 
@@ -21,6 +21,7 @@ from colloquy.llm.ranking import rank_within
 from colloquy.tables import checkpointed
 
 FOREST = "node string, root string"
+SALTS = 64  # parts over which the neighbours of one node are spread
 
 
 def _forest_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,37 +65,55 @@ def _forest_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from links.to_batches(max_chunksize=50_000)
 
 
+def _held(forest: DataFrame) -> int:
+    """The most links that one task of ``forest`` holds."""
+    per = forest.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()
+    return per[0] or 0
+
+
 def components(links: DataFrame, per_task: int = 2_000_000, fan_in: int = 8) -> DataFrame:
     """(node, root) of every node of ``links`` (its first two columns, strings); the root is the smallest node of the component.
 
-    Rows with a null link nothing. ``per_task`` bounds the links one task may hold.
+    Rows with a null link nothing. Every task makes a forest of its links; then, level by level and whatever their
+    number, ``fan_in`` neighbouring forests are merged into one, as long as what one task would hold stays within ``per_task``
+    links. That is measured at every level, as a merge drops what its forests have in common. Forests that
+    are too large to be held together, and only they, are finished by contraction.
     """
     a, b = links.columns[:2]
     pairs = links.select(F.col(a).alias("node"), F.col(b).alias("root")).dropna().where("node <> root")
     alone = links.select(F.col(a).alias("node")).union(links.select(F.col(b))).dropna().distinct()
     forest = checkpointed(pairs.mapInArrow(_forest_of, FOREST))
-    n, tasks = forest.count(), forest.rdd.getNumPartitions()
-    while tasks > 1 and n <= per_task:
-        tasks = -(-tasks // fan_in)
-        forest = forest.coalesce(tasks).mapInArrow(_forest_of, FOREST)
-        if tasks > 1:
-            forest = checkpointed(forest)
-    if n > per_task:
+    tasks = forest.rdd.getNumPartitions()
+    while tasks > 1:
+        together = forest.coalesce(-(-tasks // fan_in))
+        if _held(together) > per_task:
+            break
+        tasks = together.rdd.getNumPartitions()
+        forest = checkpointed(together.mapInArrow(_forest_of, FOREST))
+    if tasks > 1:
         forest = _stars(forest)
     return alone.join(forest, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
+def _beside_least(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (u, v) with m, the least v of u. A node of many neighbours is spread over SALTS parts: its least is found within
+    each part, then over the parts, and is sent back to just the parts that it has."""
+    salted = pairs.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    parts = salted.groupBy("u", "part").agg(F.min("v").alias("m"))
+    least = parts.groupBy("u").agg(F.min("m").alias("m"), F.collect_set("part").alias("parts"))  # at most SALTS of them
+    return salted.join(least.select("u", "m", F.explode("parts").alias("part")), ["u", "part"]).select("u", "v", "m")
+
+
 def _stars(forest: DataFrame) -> DataFrame:
-    """Contract links until every node hangs directly under the smallest of its component."""
+    """Contract links until every node hangs directly under the smallest of its component: large-star, then small-star, until nothing moves."""
     before = None
     while True:
         both = forest.select(F.col("node").alias("u"), F.col("root").alias("v")).union(forest.select(F.col("root"), F.col("node")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.col("v").alias("node"), F.col("m").alias("root")).union(least.select("u", "m")).where("node <> root").distinct()
-        forest = checkpointed(small)
+        around = _beside_least(both).select("u", "v", F.least("u", "m").alias("m"))
+        large = around.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = checkpointed(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        under = _beside_least(down)
+        forest = checkpointed(under.select(F.explode(F.array(F.struct(F.col("v").alias("node"), F.col("m").alias("root")), F.struct(F.col("u").alias("node"), F.col("m").alias("root")))).alias("x")).select("x.*").where("node <> root").distinct())
         state = forest.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
         if state == before:
             return forest

@@ -1,7 +1,8 @@
 """Speaker turns from raw transcript lines.
 
-A line goes through a finite-state parser: in front of the spoken text it takes
-time stamps, speaker marks, labels and annotations in any order, then the rest is the
+Files of captions or transcripts become lines by one finite-state pass (``caption_lines``). A
+line goes through a finite-state parser: in front of the spoken text it takes cue numbers and times,
+time stamps, speaker marks, tiers, labels and annotations in any order, then the rest is the
 body, which loses its annotations and standalone fillers. Lines are then put in
 order over the whole table (range partitions of conversation, time and id, so that
 a long conversation is spread over many tasks), a nameless line gets the speaker of the
@@ -39,15 +40,22 @@ MARK = r"(?:(?:speaker|spk|spkr|sp|s|channel|ch|화자)[\s_.#-]*0*(?P<digit>[12]
 PERSON = r"p[\s_-]*(?P<person>\d+)"
 SPEAKER_FIELD = re.compile(rf"[\W_]*{NAME}[\W_]*")
 PERSON_FIELD = re.compile(rf"[\W_]*{PERSON}[\W_]*")
+CLOCK = r"(?:\d+:)?\d+:\d\d[.,]\d+"
+CUE_TIMES = re.compile(rf"{CLOCK}\s*-->\s*{CLOCK}(?:[ \t]+(?:align|line|position|region|size|vertical):\S+)*")  # of subtitles, with their settings
+CUE_NUMBER = re.compile(rf"\d+[ \t]*\n\s*(?={CLOCK}\s*-->)")
 STAMP = re.compile(rf"(?:\d+:\d\d:\d\d(?:[.,]\d+)?|{OPEN}\s*(?:t\s*=\s*)?\d[\d:.,]*\s*s?\s*{CLOSE})\s*(?:-->(?:\s*\d+:\d\d:\d\d(?:[.,]\d+)?)?)?")
-BOXED_SPEAKER = re.compile(rf"{OPEN}\s*(?:{MARK}|(?P<bare>[12]|a|b))\s*{CLOSE}\s*[:>]?")
-PLAIN_SPEAKER = re.compile(rf"(?:{MARK}\s*(?:[:>]|-(?=\s))|(?P<bare>[12]|a|b)\s*[:>](?!\d))")
-BOXED_PERSON = re.compile(rf"{OPEN}\s*{PERSON}\s*{CLOSE}\s*[:>]?")
+VOICE = r"(?:v(?:\.[\w.]+)?\s+)?"  # in front of the name in a voice tag
+BOXED_SPEAKER = re.compile(rf"{OPEN}\s*{VOICE}(?:{MARK}|(?P<bare>[12]|a|b))\s*{CLOSE}\s*[:>]?")
+PLAIN_SPEAKER = re.compile(rf"(?:{MARK}\s*(?:[:>]|-(?=\s))|(?P<bare>[12]|a|b)(?:\s*:(?!\d)|>(?!\d)))")
+BOXED_PERSON = re.compile(rf"{OPEN}\s*{VOICE}{PERSON}\s*{CLOSE}\s*[:>]?")
 PLAIN_PERSON = re.compile(rf"{PERSON}\s*(?:[:>]|-(?=\s))")
-BOXED = re.compile(r"\[[^\[\]]*\]|\([^()]*\)|\{[^{}]*\}|<[^<>]*>|【[^【】]*】|《[^《》]*》|\*[^*\s][^*]*\*")
+TIER = re.compile(r"\*[a-z][a-z0-9]{1,6}:\s*")  # main tier: a code of three letters, as a rule; of others only two ending in 1 or 2 name somebody
+BESIDE = re.compile(r"[%@][a-z]{2,}[^\n]*")  # dependent tiers and headers hold no speech
+BOXED = re.compile(r"\[[^\[\]]*\]|\([^()]*\)|\{[^{}]*\}|<[^<>]*>|【[^【】]*】|《[^《》]*》|\*[^*\s][^*]*\*|\x15[^\x15]*\x15")
 WORD = re.compile(r"[^\W_]+(?:['’ʼ][^\W_]+)*")
 INVISIBLE = re.compile(r"[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
+CACHED = 200_000  # words whose count a parser remembers before it begins anew; this saves work and changes no result
 
 
 def fillers(forms: Iterable[str]) -> re.Pattern:
@@ -64,46 +72,91 @@ def _named(m: re.Match) -> int:
     return NUMBERS[g.get("digit") or g.get("word") or g["bare"]]
 
 
-def parse_line(speaker: str | None, label: str | None, text: str | None, filler: re.Pattern) -> tuple[int | None, str | None, bool, int]:
-    """Speaker 0 or 1 if named, participant id if one is named, whether the label leaves it out, words spoken."""
-
-    def plain(s: str | None) -> str:
-        return INVISIBLE.sub("", unicodedata.normalize("NFKC", s)).casefold().strip() if s else ""
-
-    number = person = None
-    field = plain(speaker)
-    if m := PERSON_FIELD.fullmatch(field):
-        person = m["person"]
-    elif m := SPEAKER_FIELD.fullmatch(field):
-        number = _named(m)
-    noise = NOT_LETTERS.sub("", plain(label)) in LEFT_OUT
-    body = plain(text)
-    at = 0
-    while at < len(body):  # in front: each kind of mark leads back to this state, anything else to the body
-        if body[at].isspace():
-            at += 1
-        elif m := STAMP.match(body, at):
-            at = m.end()
-        elif m := BOXED_SPEAKER.match(body, at) or PLAIN_SPEAKER.match(body, at):
-            number = _named(m) if number is None and person is None else number
-            at = m.end()
-        elif m := BOXED_PERSON.match(body, at) or PLAIN_PERSON.match(body, at):
-            person = m["person"] if number is None and person is None else person
-            at = m.end()
-        elif m := BOXED.match(body, at):
-            noise = noise or NOT_LETTERS.sub("", m[0]) in LEFT_OUT
+def plain(values: list[str | None]) -> list[str]:
+    """Compatibility form, lower case, without invisible signs and outer spacing; null gives the empty string. One pass over all values together."""
+    joined = "\0".join((v or "").replace("\0", " ") for v in values)
+    return [v.strip() for v in INVISIBLE.sub("", unicodedata.normalize("NFKC", joined)).casefold().split("\0")]
+
+
+class LineParser:
+    """Finite-state parser of lines in the known layouts.
+
+    Subtitles with or without hours (a cue's number and times in front, voice tags inside), tiers of ``*ABC:`` with ``%abc:`` and ``@``
+    lines beside them, and ``NAME: text``. FRONT takes stamps, speaker marks, labels and annotations in any order and leads
+    back to itself; anything else leads to BODY.
+    """
+
+    FRONT = (
+        ("cue", CUE_NUMBER), ("cue", CUE_TIMES), ("stamp", STAMP), ("speaker", BOXED_SPEAKER), ("speaker", PLAIN_SPEAKER), ("person", BOXED_PERSON), ("person", PLAIN_PERSON), ("tier", TIER), ("beside", BESIDE), ("box", BOXED),
+    )
+
+    def __init__(self, filler: re.Pattern):
+        self.filler, self.counts = filler, {}
+
+    def field(self, speaker: str) -> tuple[int | None, str | None]:
+        """Who a speaker field names: a number or a participant."""
+        if m := PERSON_FIELD.fullmatch(speaker):
+            return None, m["person"]
+        return (_named(m), None) if (m := SPEAKER_FIELD.fullmatch(speaker)) else (None, None)
+
+    def text(self, body: str) -> tuple[int | None, str | None, bool, int]:
+        """Who is named in front, whether a label there leaves the line out, and the words spoken."""
+        number = person = None
+        noise, at = False, 0
+        while at < len(body):
+            if body[at].isspace():
+                at += 1
+                continue
+            for state, pattern in self.FRONT:
+                if m := pattern.match(body, at):
+                    break
+            else:
+                break
             at = m.end()
-        else:
-            break
-    rest, before = body[at:], None
-    while rest != before:  # nested annotations go from the inside out
-        before, rest = rest, BOXED.sub(" ", rest)
-    words = 0
-    for token in rest.split():
-        parts = WORD.findall(token)
-        if not all(filler.fullmatch(p) for p in parts):
-            words += len(parts)
-    return number, ("P" + person.lstrip("0").rjust(7, "0") if person else None), noise, words
+            if number is None and person is None:
+                if state == "speaker":
+                    number = _named(m)
+                elif state == "person":
+                    person = m["person"]
+                elif state == "tier" and m[0].rstrip()[-2] in "12":
+                    number = int(m[0].rstrip()[-2]) - 1
+            if state == "box":
+                noise = noise or NOT_LETTERS.sub("", m[0]) in LEFT_OUT
+        rest, before = body[at:], None
+        while rest != before:  # nested annotations go from the inside out
+            before, rest = rest, BOXED.sub(" ", rest)
+        return number, person, noise, sum(map(self.words, rest.split()))
+
+    def words(self, token: str) -> int:
+        """Words in a stretch without spacing; none if all of them are fillers."""
+        n = self.counts.get(token)
+        if n is None:
+            parts = WORD.findall(token)
+            n = 0 if all(self.filler.fullmatch(p) for p in parts) else len(parts)
+            if len(self.counts) >= CACHED:
+                self.counts.clear()
+            self.counts[token] = n
+        return n
+
+    def lines(self, speakers: list[str | None], labels: list[str | None], texts: list[str | None]) -> Iterator[tuple[int | None, str | None, bool, int]]:
+        """Of each line: speaker 0 or 1 if named, participant id if one is named, whether a label leaves it out, words spoken. Equal fields and texts are parsed once."""
+        who, noises, bodies = {}, {}, {}
+        for s, v in zip(d := list(dict.fromkeys(speakers)), plain(d), strict=True):
+            who[s] = self.field(v)
+        for s, v in zip(d := list(dict.fromkeys(labels)), plain(d), strict=True):
+            noises[s] = NOT_LETTERS.sub("", v) in LEFT_OUT
+        for s, v in zip(d := list(dict.fromkeys(texts)), plain(d), strict=True):
+            bodies[s] = self.text(v)
+        for s, label, t in zip(speakers, labels, texts, strict=True):
+            (number, person), (number2, person2, noise, words) = who[s], bodies[t]
+            if number is None and person is None:
+                number, person = number2, person2
+            yield number, ("P" + person.lstrip("0").rjust(7, "0") if person else None), noise or noises[label], words
+
+
+def parse_line(speaker: str | None, label: str | None, text: str | None, filler: re.Pattern) -> tuple[int | None, str | None, bool, int]:
+    """One line by a parser of its own."""
+    return next(LineParser(filler).lines([speaker], [label], [text]))
 
 
 FINAL, EDGE, MARK_ROW = 0, 1, 2
@@ -201,8 +254,9 @@ def speaker_turns(lines: DataFrame, people: DataFrame, forms: Iterable[str]) ->
     parsed_type = T.StructType([T.StructField("conv", T.StringType()), T.StructField("at", T.LongType()), T.StructField("id", T.LongType()), T.StructField("named", T.IntegerType()), T.StructField("person", T.StringType()), T.StructField("kept", T.BooleanType()), T.StructField("words", T.IntegerType())])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = LineParser(filler)
         for b in batches:
-            got = [parse_line(*x, filler) for x in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            got = list(parser.lines(*(b.column(i).to_pylist() for i in (2, 3, 4))))
             columns = [b.column(0), b.column(5), b.column(1), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.string()), pa.array([not g[2] and g[3] > 0 for g in got], pa.bool_()), pa.array([g[3] for g in got], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, parsed_type.fieldNames())
 
@@ -229,3 +283,83 @@ def speaker_turns(lines: DataFrame, people: DataFrame, forms: Iterable[str]) ->
 def participants(conversation: DataFrame) -> DataFrame:
     """conv_id, spk1, spk2: the plain ids of the participants that meta names."""
     return conversation.select(F.col("id").alias("conv_id"), *(participant_id(F.col("meta")[k]).alias(k) for k in ("spk1", "spk2"))).distinct()
+
+
+CAPTION = T.StructType(
+    [T.StructField("line_no", T.LongType()), T.StructField("speaker", T.StringType()), T.StructField("speaker_no", T.IntegerType()), T.StructField("start_time", T.StringType()), T.StructField("end_time", T.StringType()), T.StructField("text", T.StringType())]
+)
+TIMES_LINE = re.compile(rf"\s*({CLOCK})\s*-->\s*({CLOCK})")
+VOICE_TAG = re.compile(r"^\s*<v(?:\.[\w.]+)?\s+([^>]+)>")
+TIER_LINE = re.compile(r"\*([A-Za-z][A-Za-z0-9]{1,6}):\s*(.*)")
+NAME_LINE = re.compile(r"([^\W\d_][\w .'’-]{0,40}?)\s*[:：](?!\d)\s*(.*)")
+BULLET = re.compile(r"\x15(\d+)_(\d+)\x15")
+
+
+def captions(text: str) -> list[list[str | None]]:
+    """[speaker, start, end, text] of each cue or line of a file, by a finite-state pass over its lines.
+
+    BETWEEN: blank lines, headers, cue numbers; SKIP: a header or comment block up to the next blank line; CUE: the text lines
+    of a cue; SAID: a tier or named line, which indented lines carry on. Times are as written (tiers: milliseconds as seconds).
+    """
+    out: list[list[str | None]] = []
+    state = "BETWEEN"
+    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    timed = any(TIMES_LINE.match(x) for x in lines)
+    for no, line in enumerate(lines):
+        if not line.strip():
+            state = "BETWEEN"
+        elif state == "SKIP":
+            pass
+        elif m := TIMES_LINE.match(line):
+            out.append([None, m[1], m[2], ""])
+            state = "CUE"
+        elif state == "CUE":
+            if v := VOICE_TAG.match(line):
+                if out[-1][3]:  # a second voice in one cue
+                    out.append([None, *out[-1][1:3], ""])
+                out[-1][0], line = v[1].strip(), line[v.end() :]
+            out[-1][3] = f"{out[-1][3]} {line.strip()}".strip()
+        elif timed and (line.lstrip("\ufeff").startswith(("WEBVTT", "NOTE", "STYLE", "REGION"))):
+            state = "SKIP"
+        elif timed:
+            pass  # the number or name of a cue
+        elif line[0] in "@%":
+            state = "BESIDE"
+        elif line[0] in "\t " and state in ("SAID", "BESIDE"):
+            if state == "SAID":
+                out[-1][3] = f"{out[-1][3]} {line.strip()}"
+        elif m := TIER_LINE.match(line) or NAME_LINE.match(line):
+            out.append([m[1].strip(), None, None, m[2].strip()])
+            state = "SAID"
+        else:
+            out.append([None, None, None, line.strip()])
+            state = "SAID"
+    for row in out:
+        if b := BULLET.search(row[3]):
+            row[1], row[2], row[3] = f"{int(b[1]) / 1000:.3f}", f"{int(b[2]) / 1000:.3f}", BULLET.sub("", row[3]).strip()
+    return out
+
+
+def caption_lines(files: DataFrame, key: str, text: str) -> DataFrame:
+    """Lines of whole files of captions or transcripts: ``key``, line_no (from 0), speaker, speaker_no, start_time, end_time, text.
+
+    Layouts: subtitles with numbered cues, web captions with voice tags, tiers of ``*ABC:`` and ``NAME: text``. ``speaker`` is the name as
+    written, ``speaker_no`` its place among the names of its file in order of first appearance, from 0. A line without times has nulls
+    there, one without a name in the speaker columns. Null and blank files have no lines; further columns are ignored.
+    """
+    kind = files.schema[key].dataType
+    schema = T.StructType([T.StructField("key", kind), *CAPTION.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, rows = [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                names: dict[str, int] = {}
+                for no, (speaker, start, end, said) in enumerate(captions(t or "")):
+                    number = names.setdefault(speaker.casefold(), len(names)) if speaker else None
+                    rows.append((no, speaker, number, start, end, said))
+                    at.append(i)
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *columns], schema.fieldNames())
+
+    return files.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)

@@ -24,7 +24,7 @@ def plain_components(links):
     return {x: find(x) for x in list(root)}
 
 
-@pytest.mark.parametrize("per_task", [2_000_000, 5])
+@pytest.mark.parametrize("per_task", [2_000_000, 1000, 150, 5])
 def test_components(spark, per_task):
     r = random.Random(per_task)
     links = [(f"n{r.randrange(300):03d}", f"n{r.randrange(300):03d}") for _ in range(220)] + [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(40)] + [("hub", f"s{i}") for i in range(100)]
@@ -35,6 +35,15 @@ def test_components(spark, per_task):
     assert components(df.where("false")).count() == 0
 
 
+def test_hub_and_chain_by_contraction(spark):
+    from colloquy.llm.splits import _stars
+
+    links = [("hub", f"s{i}") for i in range(3000)] + [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(200)] + [("p100", "s7")]
+    want = plain_components(links)
+    got = {x.node: x.root for x in _stars(spark.createDataFrame(links, "node string, root string")).collect()}
+    assert got == {n: r for n, r in want.items() if n != r}
+
+
 def test_portion_is_greedy():
     r = random.Random(1)
     for _ in range(200):
@@ -60,6 +69,8 @@ def test_splits(spark):
     assert all(len(s) == 1 for s in by.values())
     n = {s: sum(x.split == s for x in got) for s in ("train", "validation", "test")}
     assert abs(n["train"] - 1608) < 60 and abs(n["validation"] - 201) < 60
+    most = max(sum(x.g == g for x in got) for g in by)
+    assert all(abs(n[s] - share * len(rows) / 100) <= most for s, share in (("train", 80), ("validation", 10), ("test", 10)))
     assert assign_splits(df.where("false"), "g", [("train", 1.0)]).count() == 0
 
 
@@ -96,7 +107,13 @@ def test_mixture(spark):
         expected = plans[name].copies / (1 << 20) * len(mine)
         assert abs(sum(times.get(i, 0) for i in mine) - expected) < 1.01
         assert {times.get(i, 0) for i in mine} <= {int(plans[name].copies / (1 << 20)), int(plans[name].copies / (1 << 20)) + 1}
-    assert sorted(x.source for x in shares(m, targets).collect()) == ["absent", "big", "small-one"]
+    got = {x.source: x for x in shares(rec, m, targets).collect()}
+    assert sorted(got) == ["absent", "big", "small-one"]
+    for name, weight in (("big", 30), ("small-one", 60)):
+        own = sum(s for n, s in want.values() if n == name)
+        asked = plans[name].copies * own / (1 << 20)
+        assert abs(got[name].size - asked) <= max(s for n, s in want.values() if n == name) + 1  # within one record in size, not only in number
+        assert got[name].missing_size == round(weight * total / 100 - got[name].size) and abs(got[name].share_of_t_pct - 100 * got[name].size / total) < 1e-3
     nothing = records(df.where("false"), "id", "source", "ms", targets)
     assert {(x.passes, x.is_short) for x in plan_table(nothing, targets).collect()} == {(0, 0)} and mix(nothing, targets).count() == 0
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.llm.packing import fill, pack
+from colloquy.llm.packing import fill, fill_report, pack
 from colloquy.llm.shared_spans import SPAN, SharedSpans, Texts, kept_boundaries
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -75,6 +75,19 @@ def test_pack_within_max_loss(spark):
     assert max(a for a, _ in used.values()) <= 100 and max(b for _, b in used.values()) <= 40
 
 
+def test_shards_are_packed_together(spark):
+    r = random.Random(8)
+    items = [(i, r.randrange(1, 100), r.randrange(0, 60)) for i in range(3000)]
+    df = spark.createDataFrame(items, "id int, n int, l int")
+    got = pack(df, "id", "n", 100, 7, "l", 60, shard_items=300)
+    assert sorted((x.id, x.n_tokens, x.n_loss) for x in got.collect()) == sorted((i, n, min(n, k)) for i, n, k in items)
+    one, many = (fill_report(x, 100, 7, 60).first() for x in (pack(df, "id", "n", 100, 7, "l", 60), got))
+    assert many.max_tokens <= 100 and many.max_segments <= 7 and many.max_loss <= 60
+    assert one.least_containers <= one.containers <= many.containers <= 1.02 * one.containers
+    none = fill_report(pack(df.where("false"), "id", "n", 100), 100, 7, 60).first()
+    assert (none.containers, none.n_tokens, none.least_containers) == (0, 0, 0)
+
+
 def windows(t):
     return {t[i : i + SPAN] for i in range(len(t) - SPAN + 1)}
 
