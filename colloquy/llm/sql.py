@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from colloquy.llm.identity import PLAIN, WIDE
-from colloquy.llm.visual_form import LOOK_ALIKE
 
 P3 = """
 WITH u AS (
@@ -37,10 +36,14 @@ SELECT conv_id, piece_no, start_ms, CASE WHEN total - start_ms <= 120000 THEN to
 """
 
 
-def p1(look_alike: dict[str, str], wide: str, plain: str) -> str:
-    one = {a: b for a, b in look_alike.items() if len(b) == 1}
+# Letters of other scripts and, below them, the Latin ones drawn alike; written out on their own, not taken from the operator.
+OTHER = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿαγνορσυϲϳϱАВЕЅІЈКМНОРСТУҮХӀԚԜԌаеорсуүхѕіјԛԝһԁӏѵѡгɑɡ‐‑․"
+LATIN = "ABEZHIKMNOPTYXCJayvopoucjpABESIJKMHOPCTYYXIQWGaeopcyyxsijqwhdlvwrag--."
+
+
+def p1(wide: str, plain: str) -> str:
     text = r"regexp_replace(text, '[\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}]', '', 'g')"
-    text = f"translate(translate({text}, '{wide}', '{plain}'), '{''.join(one)}', '{''.join(one.values())}')"
+    text = f"translate(translate({text}, '{wide}', '{plain}'), '{OTHER}', '{LATIN}')"
     for a, b in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("…", "..."), ("‥", "..")):
         text = f"replace({text}, '{a}', '{b}')"
     text = r"nfc_normalize(trim(regexp_replace(" + text + r", '[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')))"
@@ -57,4 +60,4 @@ t AS (SELECT *, weight_pct * sum(own) OVER () AS want FROM o)
 SELECT source, CAST(CASE WHEN max_repeat * own * 100 < want THEN max_repeat WHEN want = 0 THEN 0 ELSE (want + 100 * own - 1) // (100 * own) END AS INT) AS passes, CAST(max_repeat * own * 100 < want AS INT) AS is_short FROM t"""
 
 
-SQL = {"p1_found": p1(LOOK_ALIKE, WIDE.replace("'", "''"), PLAIN.replace("'", "''")), "p2_found": P2, "p3_found": P3, "p7_found": p7(WIDE.replace("'", "''"), PLAIN.replace("'", "''"))}
+SQL = {"p1_found": p1(WIDE.replace("'", "''"), PLAIN.replace("'", "''")), "p2_found": P2, "p3_found": P3, "p7_found": p7(WIDE.replace("'", "''"), PLAIN.replace("'", "''"))}

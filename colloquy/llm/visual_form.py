@@ -20,20 +20,24 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Letters of other scripts and the Latin letter (or digraph sign) they are drawn like.
+from colloquy.tables import checkpointed
+
+# Letters of other scripts and the Latin letter they are drawn like, by script, after the confusable characters that Unicode publishes.
 LOOK_ALIKE = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
-    "ο": "o", "ϲ": "c", "ϳ": "j", "ν": "v", "ɑ": "a", "ɡ": "g", "ı": "i", "ι": "i",
+    "α": "a", "γ": "y", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "υ": "u", "ϲ": "c", "ϳ": "j", "ϱ": "p",
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Ү": "Y", "Х": "X", "Ӏ": "I", "Ԛ": "Q", "Ԝ": "W", "Ԍ": "G",
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "ү": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ԛ": "q", "ԝ": "w", "һ": "h", "ԁ": "d", "ӏ": "l", "ѵ": "v",
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "ү": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ԛ": "q", "ԝ": "w", "һ": "h", "ԁ": "d", "ӏ": "l", "ѵ": "v", "ѡ": "w", "г": "r",
     "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
-    "Տ": "S", "Օ": "O", "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "զ": "q",
-    "Κ": "K", "Å": "Å", "‐": "-", "‑": "-", "…": "...", "‥": "..", "․": ".",
+    "Տ": "S", "Օ": "O", "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "յ": "j",
+    "ɑ": "a", "ɡ": "g", "‐": "-", "‑": "-", "…": "...", "‥": "..", "․": ".",
 }
+# Latin letters whose small capital is drawn like the small letter itself.
+SAME_SMALL = "COSVWXZ"
 # First and last code points of the ranges that show nothing (default-ignorable or format signs).
 SHOWS_NOTHING = [
     (0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E),
@@ -50,10 +54,12 @@ def _spread(ch: str) -> str:
     """What one code point becomes before composition."""
     if ch in LOOK_ALIKE:
         return LOOK_ALIKE[ch]
+    if 0xAB70 <= ord(ch) < 0xABC0 and (latin := LOOK_ALIKE.get(ch.upper())):  # small Cherokee letters are drawn as small capitals
+        return latin.lower() if latin in SAME_SMALL else unicodedata.lookup(f"LATIN LETTER SMALL CAPITAL {latin}")
     if ch.isspace() or unicodedata.category(ch) in ("Zs", "Zl", "Zp"):
         return " "
     kind, _, rest = unicodedata.decomposition(ch).partition(" ")
-    if kind in ("<wide>", "<narrow>", "<noBreak>") or (kind == "<compat>" and unicodedata.category(ch) in ("Ll", "Lu", "Lt") and " " in rest):
+    if kind in ("<wide>", "<narrow>", "<noBreak>") or (kind == "<compat>" and (unicodedata.category(ch) == "Nl" or unicodedata.category(ch) in ("Ll", "Lu", "Lt") and " " in rest)):
         return "".join(_spread(chr(int(x, 16))) for x in rest.split())
     if kind and kind[0] != "<":
         return "".join(_spread(x) for x in unicodedata.normalize("NFD", ch))
@@ -76,6 +82,7 @@ def tables() -> dict[str, np.ndarray]:
         ch = chr(p)
         if unicodedata.category(ch) in quiet:
             continue
+        nothing[p] |= unicodedata.category(ch) == "Cc" and not ch.isspace()
         ccc[p] = unicodedata.combining(ch)
         whole = unicodedata.decomposition(ch)
         if whole and whole[0] != "<" and " " in whole and unicodedata.normalize("NFC", ch) == ch:
@@ -197,7 +204,10 @@ def visual_array(column: pa.Array) -> pa.Array:
     null = np.asarray(column.is_null())
     if (points < 0x80).all():
         row = np.repeat(np.arange(len(lengths)), lengths)
-        points, row = _squeeze(np.where((points <= SPACE) & ((points == SPACE) | (points >= 9) & (points <= 13) | (points >= 28) & (points <= 31)), SPACE, points), row)
+        if (points < SPACE).any() or (points == 0x7F).any():
+            shown = t["length"][points] > 0
+            points, row = t["stretch"][t["offset"][points[shown]]], row[shown]
+        points, row = _squeeze(points, row)
     else:
         points, row = _expand(points, np.repeat(np.arange(len(lengths)), lengths), t)
         points, row = _compose(*_squeeze(points, row), t)
@@ -223,21 +233,29 @@ def with_visual_form(df: DataFrame, text: str, out: str = "visual_form") -> Data
     return df.select(*rest).mapInArrow(run, schema)
 
 
+def _hashed(c: str) -> list[Column]:
+    """A text as two independent 64-bit hashes; Spark's own, which see the whole text."""
+    return [F.xxhash64(c).alias(f"{c}1"), F.xxhash64(F.lit(11), c, F.length(c)).alias(f"{c}2")]
+
+
 def look_alike_pairs(df: DataFrame, within: str, record: str, text: str) -> DataFrame:
     """Pairs of records of one group whose texts look the same but differ in their code points.
 
     Result: ``a`` < ``b`` (record ids). Null and blank texts pair with nothing;
-    repeated rows of a record count once. Groups without two different texts of one form are
+    repeated rows of a record count once. The form of every text is made once and written as a 128-bit hash, as is the text, so
+    that nothing below moves a text. Groups without two different texts of one form are
     dropped by a plain aggregation first; pairs are then made between the different
     texts of a form, never within equal ones, so nothing is made that isn't a result.
     """
-    rows = df.select(F.col(within).alias("g"), F.col(record).alias("r"), F.col(text).alias("t")).where("g is not null and t is not null")
-    formed = with_visual_form(rows, "t", "f").where("f <> ''")
-    varied = formed.groupBy("g", "f").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("g", "f")
-    kept = formed.join(varied, ["g", "f"], "left_semi").distinct()
-    texts = kept.select("g", "f", "t").distinct()
-    other = texts.select("g", "f", F.col("t").alias("u")).join(texts, ["g", "f"]).where("t < u")
-    left = kept.select("g", "f", "t", F.col("r").alias("x"))
-    right = kept.select("g", "f", F.col("t").alias("u"), F.col("r").alias("y"))
-    pairs = other.join(left, ["g", "f", "t"]).join(right, ["g", "f", "u"]).where("x <> y")
+    rows = df.select(F.col(within).alias("g"), F.col(record).alias("r"), F.col(text).alias("t")).where("g is not null and r is not null and t is not null")
+    formed = with_visual_form(rows, "t", "f").where("f <> ''").select("g", "r", *_hashed("f"), *_hashed("t"))
+    formed = checkpointed(formed)
+    form, t = ["g", "f1", "f2"], F.struct("t1", "t2")
+    varied = formed.groupBy(*form).agg(F.min(t).alias("lo"), F.max(t).alias("hi")).where("lo <> hi").select(*form)
+    kept = checkpointed(formed.join(varied, form, "left_semi").select(*form, t.alias("t"), "r").distinct())
+    texts = kept.select(*form, "t").distinct()
+    other = texts.select(*form, F.col("t").alias("u")).join(texts, form).where("t < u")
+    left = kept.select(*form, "t", F.col("r").alias("x"))
+    right = kept.select(*form, F.col("t").alias("u"), F.col("r").alias("y"))
+    pairs = other.join(left, [*form, "t"]).join(right, [*form, "u"]).where("x <> y")
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

@@ -33,10 +33,16 @@ def test_against_plain_version():
 
 
 def test_kept_apart():
-    kept = ["x²", "x2", "①0", "10", "cafe", "café", "Cafe", "a.", "a,"]
+    kept = ["x²", "x2", "①0", "10", "cafe", "café", "Cafe", "a.", "a,", "ı", "i", "ι", "ꭰ", "D", "d", "ꭱ"]
     assert len(set(visual_array(pa.array(kept)).to_pylist())) == len(kept)
 
 
+def test_brought_together():
+    alike = {"Ⅻ": "XII", "ⅼ": "l", "ραυ": "pau", "ꮪꮯ": "sc", "ꭰ": "ᴅ", "a\x07b\x00": "ab", "é\x7f x": "é x", "\x07": "", "г": "r"}
+    assert visual_array(pa.array(list(alike))).to_pylist() == list(alike.values())
+    assert visual_array(pa.array(["a\x07b", "\x01 \t x"])).to_pylist() == ["ab", "x"]
+
+
 def test_slices_long_texts_and_extra_columns(spark):
     long = "ａ́ " * 200_000
     assert visual_array(pa.array(["x", long, "y"]).slice(1, 1)).to_pylist() == [("á " * 200_000).strip()]
