@@ -1,20 +1,27 @@
 """Long exact spans that documents share, by recompression.
 
-Every text is parsed in rounds, as in recompression: first words become symbols, then
+A text is parsed in rounds, as in recompression: first words become symbols, then
 short runs of one symbol and pairs of neighbours are named anew, a pair when the first
 symbol's name falls into one half of the alphabet and the second's into the other. A name
 is a hash of what it stands for, so all tasks give the same name to the same
 thing without asking each other, and equal substrings get the same interior symbols
 wherever they stand. What a symbol may join is limited by its length, which limits how
-far the edges of a substring can disturb its parse (REACH below).
+far the edges of a substring can disturb its parse (the reach).
 
-A boundary between top symbols is named by the text around it. Of these names
-those are kept that are smallest within some stretch of SPAN - 2 * REACH + 1 characters; a
-shared span of SPAN characters then always holds a kept boundary, with the same name in both
-texts. Names that stand in one text only are dropped; what stands left and right of the others
-decides, exactly, who shares SPAN characters.
+Then rounds over the whole corpus name longer and longer symbols and keep those that stand in
+more than one text, each round by one aggregation and a join of the names it keeps:
 
-Proof of the reach: a token cut by the edge of the span costs at most TOKEN characters (a longer
+1. A boundary between symbols is named by the text within one reach of it. Of these
+   names those are kept that are smallest within some stretch of span - 2 * reach + 1 characters; a
+   shared span of span characters then always holds a kept boundary, with the same name in both texts.
+2. Around the boundaries whose name is shared, the stretches of span - STRIDE characters at every STRIDE.
+3. Within the shared ones of those, all stretches of span characters.
+
+What round 3 keeps is what is shared. No round makes pairs: a symbol's texts are counted by their least and
+greatest. Pairs are only made when they are asked for, once for each set of texts, and every one that comes
+out has been compared as text.
+
+Proof of the reach: a token cut by the edge of the span costs at most ``token`` characters (a longer
 one is single characters in any case), a run at the edge at most its limit (a
 longer run isn't joined in any case), a pair across the edge at most its limit.
 """
@@ -29,26 +36,51 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from colloquy.llm.visual_form import N_POINTS, points_of
 from colloquy.operators.coverage import periods_and_gaps
 from colloquy.tables import checkpointed
 
-SPAN = 240
-TOKEN = 16  # longest word that becomes one symbol
-ROUNDS = ((4, 6), (8, 10), (0, 16))  # of each round, the longest run and the longest symbol that are joined
-REACH = TOKEN + sum(a + b for a, b in ROUNDS)  # 60
-EXTRA = SPAN - 2 * REACH  # characters that are looked at on either side of a name's text
+SPAN, LEAST_SPAN = 240, 24
 STRIDE = 8
+SALTS = 16  # parts over which the texts of one name are spread
+BLOCK = 1_000  # members of one set that meet in a task
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 PIECE = 1 << 21  # bytes of text that are worked on at a time
 
 
+@dataclass(frozen=True)
+class Limits:
+    """What follows from the length of a span: token, the longest word that is one symbol, and of each round the longest run and the longest symbol that are joined; a sixth of the span in all."""
+
+    span: int = SPAN
+
+    def __post_init__(self) -> None:
+        if self.span < LEAST_SPAN:
+            raise ValueError(f"a span has {LEAST_SPAN} characters at least")
+
+    @property
+    def token(self) -> int:
+        return self.span * 10 // 240
+
+    @property
+    def rounds(self) -> tuple[tuple[int, int], ...]:
+        return tuple((self.span * a // 240, self.span * b // 240) for a, b in ((2, 4), (4, 8), (0, 12)))
+
+    @property
+    def reach(self) -> int:
+        return self.token + sum(a + b for a, b in self.rounds)
+
+    @property
+    def extra(self) -> int:
+        """Characters that are looked at on either side of a name's text."""
+        return self.span - 2 * self.reach
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A fixed bijection that scatters 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * M1
@@ -83,7 +115,7 @@ class Texts:
         return mix((self.sums[hi] - self.sums[lo]) * self.falling[lo] + (hi - lo).astype(np.uint64) * M2)
 
 
-def _boundaries(t: Texts) -> np.ndarray:
+def _boundaries(t: Texts, limits: Limits) -> np.ndarray:
     """Starts of the top symbols."""
     row_start = np.zeros(t.n + 1, bool)
     row_start[t.starts[:-1]] = True
@@ -94,12 +126,12 @@ def _boundaries(t: Texts) -> np.ndarray:
     begin |= row_start
     at = np.flatnonzero(begin)
     length = np.diff(np.append(at, t.n))
-    long = np.repeat(length > TOKEN, length)
+    long = np.repeat(length > limits.token, length)
     at = np.flatnonzero(begin | long)
     length = np.diff(np.append(at, t.n))
     name = t.hashes(at, at + length)
     fresh = row_start[at]  # a symbol that begins a text joins nothing before it
-    for k, (run_limit, pair_limit) in enumerate(ROUNDS):
+    for k, (run_limit, pair_limit) in enumerate(limits.rounds):
         if run_limit:
             first = np.ones(len(at), bool)
             first[1:] = (name[1:] != name[:-1]) | fresh[1:]
@@ -127,15 +159,16 @@ def _boundaries(t: Texts) -> np.ndarray:
     return at
 
 
-def kept_boundaries(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def kept_boundaries(t: Texts, limits: Limits = Limits()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, place and name of the boundaries that are smallest within some stretch."""
-    at = _boundaries(t)
+    reach, span = limits.reach, limits.span
+    at = _boundaries(t, limits)
     row = np.searchsorted(t.starts, at, "right") - 1
-    lo, hi = t.starts[row] + REACH, t.starts[row + 1] - REACH
-    ok = (at >= lo) & (at <= hi) & (t.starts[row + 1] - t.starts[row] >= SPAN)
+    lo, hi = t.starts[row] + reach, t.starts[row + 1] - reach
+    ok = (at >= lo) & (at <= hi) & (t.starts[row + 1] - t.starts[row] >= span)
     at, row, lo, hi = at[ok], row[ok], lo[ok], hi[ok]
-    name = t.hashes(at - REACH, at + REACH)
-    width = SPAN - 2 * REACH + 1
+    name = t.hashes(at - reach, at + reach)
+    width = span - 2 * reach + 1
     n = len(at)
     ends = []
     for sign, edge in ((-1, lo - 1), (1, hi + 1)):  # the nearest boundary of a smaller name on either side, as far as it matters
@@ -170,149 +203,173 @@ def _pieces(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.R
             first = last
 
 
-def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(c1, c2, text) -> (c1, c2, at, h)."""
+def _names(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[pa.RecordBatch]:
+    """(c1, c2, text) of different texts -> (c1, c2, at, h, sure).
+
+    A name of several texts of one piece is shared for sure, all of its rows say so, and one more that doesn't stands for it before the other
+    pieces; so of a name that stands everywhere a piece sends one row to be counted.
+    """
     for b, t in _pieces(batches, 2):
-        row, at, name = kept_boundaries(t)
-        rows = pa.array(row)
-        place = (at - t.starts[row]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(place), pa.array(name.view(np.int64))], ["c1", "c2", "at", "h"])
-
-
-CONTEXT = "h bigint, c1 bigint, c2 bigint, at int, n_left int, n_right int, l bigint, r bigint, left string, right string, keys array<bigint>"
-ARROW_CONTEXT = pa.schema([("h", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("at", pa.int32()), ("n_left", pa.int32()), ("n_right", pa.int32()), ("l", pa.int64()), ("r", pa.int64()), ("left", pa.string()), ("right", pa.string()), ("keys", pa.list_(pa.int64()))])
-
-
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(c1, c2, text, marks of (h, at)) -> what stands around each mark, and keys of stretches that two contexts must have in common."""
-    salts = mix(np.arange(1, EXTRA // STRIDE + 1, dtype=np.uint64) * M1)
-    for b in batches:
-        for part, t in _pieces(iter([b]), 2):
-            marks = part.column(3)
-            counts = np.asarray(marks.value_lengths().fill_null(0)).astype(np.int64)
-            flat = marks.flatten()
-            row = np.repeat(np.arange(part.num_rows), counts)
-            h, place = np.asarray(flat.field(0)), np.asarray(flat.field(1)).astype(np.int64)
-            at = place + t.starts[row]
-            lo, hi = np.maximum(t.starts[row], at - REACH - EXTRA), np.minimum(t.starts[row + 1], at + REACH + EXTRA)
-            left, right = t.hashes(lo, at - REACH), t.hashes(at + REACH, hi)
-            n_left, n_right = at - REACH - lo, hi - at - REACH
-            keys = np.zeros((len(at), EXTRA // STRIDE), np.uint64)
-            fits = np.zeros_like(keys, bool)
-            for k in range(EXTRA // STRIDE):
-                a, z = at - REACH - k * STRIDE, at + REACH + EXTRA - STRIDE - k * STRIDE
-                good = (a >= lo) & (z <= hi)
-                keys[good, k] = mix(t.hashes(a[good], z[good]) + salts[k])
-                fits[:, k] = good
-            text = part.column(2)
-            strings = [x.as_py() for x in text]
-            lefts = [strings[i][p - REACH - n : p - REACH] for i, p, n in zip(row, place, n_left, strict=True)]
-            rights = [strings[i][p + REACH : p + REACH + n] for i, p, n in zip(row, place, n_right, strict=True)]
-            offsets = np.concatenate([[0], np.cumsum(fits.sum(axis=1))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[fits].view(np.int64)))
-            rows = pa.array(row)
-            columns = [pa.array(h), part.column(0).take(rows), part.column(1).take(rows), pa.array(place.astype(np.int32)), pa.array(n_left.astype(np.int32)), pa.array(n_right.astype(np.int32)), pa.array(left.view(np.int64)), pa.array(right.view(np.int64)), pa.array(lefts, pa.string()), pa.array(rights, pa.string()), lists]
-            yield pa.RecordBatch.from_arrays(columns, schema=ARROW_CONTEXT)
-
-
-def _common(a: list[str], b: list[str], backwards: bool) -> np.ndarray:
-    """Length of the common end (backwards) or beginning of each pair of strings."""
-    out = np.zeros(len(a), np.int32)
-    for i, (x, y) in enumerate(zip(a, b, strict=True)):
-        n = min(len(x), len(y))
-        x, y = (x[::-1], y[::-1]) if backwards else (x, y)
-        lo, hi = 0, n
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            lo, hi = (mid, hi) if x[:mid] == y[:mid] else (lo, mid - 1)
-        out[i] = lo
-    return out
-
-
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of contexts that have SPAN characters in common, and how far they agree on either side."""
-    for b in batches:
-        n = b.schema.names
-        left = _common(b.column(n.index("left")).to_pylist(), b.column(n.index("left2")).to_pylist(), True)
-        right = _common(b.column(n.index("right")).to_pylist(), b.column(n.index("right2")).to_pylist(), False)
-        rows = pa.array(np.flatnonzero(left + right + 2 * REACH >= SPAN))
-        columns = [b.column(n.index(c)).take(rows) for c in ("h", "l", "r", "l2", "r2")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(left).take(rows), pa.array(right).take(rows)], ["h", "l", "r", "l2", "r2", "n_left", "n_right"])
+        row, at, name = kept_boundaries(t, limits)
+        order = np.lexsort([row, name])
+        first = np.ones(len(name), bool)
+        first[1:] = name[order][1:] != name[order][:-1]
+        group = np.cumsum(first) - 1
+        starts = np.flatnonzero(first)
+        lengths = np.diff(np.append(starts, len(name)))
+        several = row[order][starts] != row[order][starts + lengths - 1] if len(starts) else np.zeros(0, bool)
+        sure = np.zeros(len(name), bool)
+        sure[order] = several[group] if len(starts) else False
+        extra = order[starts[several]]
+        take, flags = np.concatenate([np.arange(len(name)), extra]), np.concatenate([sure, np.zeros(len(extra), bool)])
+        rows = pa.array(row[take])
+        place = (at - t.starts[row]).astype(np.int32)[take]
+        yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(place), pa.array(name.view(np.int64)[take]), pa.array(flags)], ["c1", "c2", "at", "h", "sure"])
 
 
 class SharedSpans:
     """What the documents of a table share.
 
-    ``df``: an id (bigint) and a text for each document, further columns are ignored. Null,
+    ``df``: an id (bigint) and a text for each document, further columns are ignored; ``span``: the least length. Null,
     empty and short texts share nothing; repeated rows of an id count once. Equal texts
-    are one class and are looked at once.
+    are one class, brought together before they are parsed, and are looked at once.
     """
 
-    def __init__(self, df: DataFrame, key: str, text: str):
-        rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where(f"id is not null and length(text) >= {SPAN}")
+    def __init__(self, df: DataFrame, key: str, text: str, span: int = SPAN):
+        self.limits = limits = Limits(span)
+        rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where(f"id is not null and length(text) >= {span}")
         keyed = rows.select("id", F.xxhash64("text").alias("c1"), F.xxhash64(F.lit(7), "text", F.length("text")).alias("c2"), "text")
         self.members = keyed.select("id", "c1", "c2", F.length("text").alias("n")).distinct()
-        names = keyed.select("c1", "c2", "text").mapInArrow(_names, "c1 bigint, c2 bigint, at int, h bigint")
-        same = Window.partitionBy("h")
-        name_of = F.struct("c1", "c2")
-        shared = names.withColumns({"lo": F.min(name_of).over(same), "hi": F.max(name_of).over(same)}).where("lo <> hi").select("c1", "c2", "h", "at")
-        marks = shared.groupBy("c1", "c2").agg(F.collect_set(F.struct("h", "at")).alias("marks"))  # of one text
-        texts = keyed.select("c1", "c2", "text").join(marks, ["c1", "c2"])
-        self.contexts = checkpointed(texts.mapInArrow(_contexts, CONTEXT).dropDuplicates(["c1", "c2", "at"]))
-        self._evidence()
-
-    def _evidence(self) -> None:
-        """Groups of equal contexts, and the pairs of different ones that are long enough."""
-        group = ["h", "l", "r"]
+        texts = keyed.groupBy("c1", "c2").agg(F.first("text").alias("text"))  # copies are dropped before the exchange, as far as they meet in a task
+        names = texts.mapInArrow(lambda it: _names(it, limits), "c1 bigint, c2 bigint, at int, h bigint, sure boolean")
+        marks = _of_several_texts(names).groupBy("c1", "c2").agg(F.collect_set(F.struct("h", "at")).alias("marks"))  # of one text
+        self.contexts = checkpointed(self._contexts(texts.join(marks, ["c1", "c2"])))
+        self._runs()
+
+    def _contexts(self, marked: DataFrame) -> DataFrame:
+        """h, c1, c2, at, the text around it (ctx), characters of that before the name's own (n_left), and a name of both (l, r)."""
+        reach, extra, m = self.limits.reach, self.limits.extra, F.col("at")
+        each = marked.select("c1", "c2", "text", F.explode("marks").alias("m")).select("c1", "c2", "text", "m.h", "m.at")
+        first = F.greatest(m - reach - extra, F.lit(0))
+        x = each.select("h", "c1", "c2", "at", F.substring("text", first + 1, m + reach + extra - first).alias("ctx"), (m - reach - first).alias("n_left"))
+        return x.withColumns({"l": F.xxhash64("ctx", "n_left"), "r": F.xxhash64(F.lit(11), "ctx", "n_left")})
+
+    def _runs(self) -> None:
+        """Kinds of context (h, l, r) and the texts they stand in; ``windows``: the stretches of span characters (h, w1, w2) that several kinds have, and where."""
+        span, extra = self.limits.span, self.limits.extra
+        kind, who, code = ["h", "l", "r"], F.struct("c1", "c2"), F.xxhash64("c1", "c2")
+        signature = [F.count("*").alias("n"), F.sum(code.cast("decimal(38,0)")).alias("s"), F.bit_xor(code).alias("x"), F.sum(F.shiftright(code, 20).cast("decimal(38,0)") * F.shiftright(F.xxhash64("c2", "c1"), 32)).alias("m")]
+        one = F.when(F.min("ctx") == F.max("ctx"), F.min("ctx")).otherwise(F.raise_error(F.lit("two texts of one name")).cast("string"))
         c = self.contexts
-        several = c.groupBy("h").agg(F.min(F.struct("l", "r")).alias("a"), F.max(F.struct("l", "r")).alias("b")).where("a <> b").select("h")
-        kinds = c.join(several, "h", "left_semi").groupBy(*group).agg(F.first("left").alias("left"), F.first("right").alias("right"), F.first("keys").alias("keys"))
-        keyed = kinds.select(*group, F.explode("keys").alias("k"))
-        other = keyed.select("h", F.col("l").alias("l2"), F.col("r").alias("r2"), "k")
-        candidates = keyed.join(other, ["h", "k"]).where("l < l2 or (l = l2 and r < r2)").select(*group, "l2", "r2").distinct()
-        texts = kinds.select(*group, "left", "right")
-        texts2 = texts.select("h", F.col("l").alias("l2"), F.col("r").alias("r2"), F.col("left").alias("left2"), F.col("right").alias("right2"))
-        pairs = candidates.join(texts, group).join(texts2, ["h", "l2", "r2"])
-        self.crossing = checkpointed(pairs.mapInArrow(_verified, "h bigint, l bigint, r bigint, l2 bigint, r2 bigint, n_left int, n_right int"))
-
-    def pairs(self) -> DataFrame:
-        """(a, b), a < b: documents with at least one run of SPAN characters in common."""
-        group, c = ["h", "l", "r"], self.contexts.select("h", "l", "r", "c1", "c2").distinct()
-        who = F.xxhash64("c1", "c2")
-        sets = c.groupBy(*group).agg(F.count("*").alias("n"), F.sum(who.cast("decimal(38,0)")).alias("s"), F.bit_xor(who).alias("x"), F.sum(F.shiftright(who, 20).cast("decimal(38,0)") * F.shiftright(F.xxhash64("c2", "c1"), 32)).alias("m"))
-        key = F.struct("n", "s", "x", "m")
-        sets = checkpointed(sets.select(*group, key.alias("set")))
-        # neighbouring names of one copied passage have the same texts behind them: one of them stands for all
-        one = sets.where("set.n > 1").groupBy("set").agg(F.min(F.struct(*group)).alias("g")).select("g.*")
-        alike = c.join(one, group)
-        x, y = alike.select(*group, F.struct("c1", "c2").alias("a")), alike.select(*group, F.struct("c1", "c2").alias("b"))
-        same = x.join(y, group).where("a < b").select("a", "b")
-        cross = self.crossing.select(*group, "l2", "r2").join(sets.withColumnRenamed("set", "set1"), group)
-        cross = cross.join(sets.select("h", F.col("l").alias("l2"), F.col("r").alias("r2"), F.col("set").alias("set2")), ["h", "l2", "r2"])
-        first = cross.groupBy("set1", "set2").agg(F.min(F.struct("h", "l", "r", "l2", "r2")).alias("g")).select("g.*")
-        left = c.select(*group, F.struct("c1", "c2").alias("a"))
-        right = c.select("h", F.col("l").alias("l2"), F.col("r").alias("r2"), F.struct("c1", "c2").alias("b"))
-        met = first.join(left, group).join(right, ["h", "l2", "r2"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        classes = same.union(met).distinct()
-        m = self.members.select("id", F.struct("c1", "c2").alias("c"))
-        between = classes.join(m.select(F.col("c").alias("a"), F.col("id").alias("x")), "a").join(m.select(F.col("c").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
-        within = m.select("c", F.col("id").alias("x")).join(m.select("c", F.col("id").alias("y")), "c").where("x < y").select("x", "y")
-        return between.union(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        self.kinds = kinds = checkpointed(c.groupBy(*kind).agg(one.alias("ctx"), F.first("n_left").alias("n_left"), F.min(who).alias("lo"), F.max(who).alias("hi"), *signature))
+        # how far a stretch of span characters may begin before the name's own text
+        ahead, behind = F.least("n_left", F.lit(extra)), F.greatest(F.lit(extra) - (F.length("ctx") - F.col("n_left") - 2 * self.limits.reach), F.lit(0))
+        several = c.groupBy("h").agg(F.min(F.struct("l", "r")).alias("lo"), F.max(F.struct("l", "r")).alias("hi")).where("lo <> hi").select("h")
+        some = kinds.select(*kind, "ctx", "n_left").where(behind <= ahead).join(several, "h", "left_semi")
+        k, last = F.col("k"), F.lit(-(-extra // STRIDE) - 1)
+        long = some.select(*kind, "ctx", "n_left", F.explode(F.sequence(F.least(F.floor(behind / STRIDE), last), F.least(F.floor(ahead / STRIDE), last))).alias("k"))
+        stretch_at = lambda a, n: F.substring("ctx", (F.col("n_left") - a + 1).cast("int"), F.lit(n))
+        here, there = k * STRIDE, F.least((k + 1) * STRIDE, F.lit(extra))
+        # every stretch that begins k to k + 1 STRIDEs ahead holds this one of span - STRIDE characters; ends: the first and last of those stretches, if there are both
+        ends = F.when((here >= behind) & (there <= ahead), F.xxhash64(stretch_at(here, span), stretch_at(there, span))).otherwise(F.xxhash64("l", "r"))
+        long = long.select(*kind, "k", F.xxhash64(stretch_at(here, span - STRIDE)).alias("w"), ends.alias("ends"))
+        near = _shared(long, ["h", "k", "w"], F.xxhash64("l", "r"), "ends").select(*kind, "k", "same").join(some, kind)
+        a = F.col("a")
+        # kinds that have both ends in common have all stretches between them in common, and nobody else has one of them
+        fine = F.sequence(F.greatest(behind, here).cast("int"), F.least(ahead, F.when(k == last, F.lit(extra)).otherwise(there - 1)).cast("int"))
+        every = near.select(*kind, "ctx", "n_left", F.explode(F.when(F.col("same"), F.array(here.cast("int"), there.cast("int"))).otherwise(fine)).alias("a")).distinct()
+        stretch = F.substring("ctx", F.col("n_left") - a + 1, F.lit(span))
+        named = every.select(*kind, "a", F.xxhash64(stretch).alias("w1"), F.xxhash64(F.lit(13), stretch).alias("w2"))
+        self.windows = checkpointed(_shared(named, ["h", "w1", "w2"], F.xxhash64("l", "r"), "a").select(*kind, "a", "w1", "w2"))
 
     def shared_characters(self) -> DataFrame:
-        """(id, n, shared): characters of each document of at least SPAN, and how many stand in a span that another document has too."""
-        group = ["h", "l", "r"]
-        c = self.contexts.select(*group, "c1", "c2", "at", "n_left", "n_right")
-        crowd = c.groupBy(*group).agg(F.min(F.struct("c1", "c2")).alias("a"), F.max(F.struct("c1", "c2")).alias("b")).where("a <> b").select(*group)
-        whole = c.join(crowd, group, "left_semi").select("c1", "c2", "at", "n_left", "n_right")
-        sides = self.crossing.select(*group, "l2", "r2", "n_left", "n_right").union(self.crossing.select("h", "l2", "r2", "l", "r", "n_left", "n_right"))
-        who = F.struct("c1", "c2")
-        others = c.groupBy("h", F.col("l").alias("l2"), F.col("r").alias("r2")).agg(F.min(who).alias("lo"), F.max(who).alias("hi"))
-        reach = sides.join(others, ["h", "l2", "r2"]).groupBy(*group, "n_left", "lo", "hi").agg(F.max("n_right").alias("n_right"))
-        met = c.select(*group, "c1", "c2", "at").join(reach, group).where((F.col("lo") != who) | (F.col("hi") != who))  # a text doesn't share with itself
-        partly = met.select("c1", "c2", "at", "n_left", "n_right")
-        spans = whole.union(partly).select("c1", "c2", (F.col("at") - REACH - F.col("n_left")).alias("s"), (F.col("at") + REACH + F.col("n_right")).alias("e"))
+        """(id, n, shared): characters of each document of at least the span, and how many stand in a span that another document has too."""
+        span, reach = self.limits.span, self.limits.reach
+        kind = ["h", "l", "r"]
+        texts = self.kinds.select(*kind, "lo", "hi")
+        apart = self.windows.join(texts, kind).groupBy("h", "w1", "w2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("h", "w1", "w2")  # a text doesn't share with itself
+        far = self.windows.join(apart, ["h", "w1", "w2"], "left_semi").groupBy(*kind).agg(F.max("a").alias("before"), F.min("a").alias("after"))
+        n_right = F.length("ctx") - F.col("n_left") - 2 * reach
+        whole = self.kinds.where((F.col("lo") != F.col("hi")) & (F.length("ctx") >= span)).select(*kind, F.col("n_left").alias("before"), (span - 2 * reach - n_right).alias("after"))
+        extent = whole.union(far).groupBy(*kind).agg(F.max("before").alias("before"), F.min("after").alias("after"))
+        begin = F.col("at") - reach
+        spans = self.contexts.select(*kind, "c1", "c2", "at").join(extent, kind).select("c1", "c2", (begin - F.col("before")).alias("s"), (begin + span - F.col("after")).alias("e"))
         found = periods_and_gaps(spans, ["c1", "c2"], "s", "e").where("kind = 'period'").groupBy("c1", "c2").agg(F.sum(F.col("e") - F.col("s")).alias("shared"))
         copies = self.members.groupBy("c1", "c2").agg(F.count("*").alias("copies"))
         every = self.members.join(found, ["c1", "c2"], "left").join(copies, ["c1", "c2"])
         return every.select("id", "n", F.when(F.col("copies") > 1, F.col("n").cast("bigint")).otherwise(F.coalesce("shared", F.lit(0))).alias("shared"))
+
+    def sets(self) -> DataFrame:
+        """(h, w1, w2, c1, c2): one shared stretch for each set of different texts that share one, and those texts; each compared as text.
+
+        Neighbouring stretches of one copied passage have the same texts behind them; one of them stands for all.
+        """
+        kind, run, key = ["h", "l", "r"], ["h", "w1", "w2"], F.struct("n", "s", "x", "m")
+        span = self.limits.span
+        crowd = self.kinds.where((F.col("lo") != F.col("hi")) & (F.length("ctx") >= span)).select(*kind, F.col("l").alias("w1"), F.col("r").alias("w2"), key.alias("set"))
+        several = self.windows.join(self.kinds.select(*kind, "n", "s", "x", "m"), kind)
+        several = several.groupBy(*run).agg(F.sum("n").alias("n"), F.sum("s").cast("decimal(38,0)").alias("s"), F.bit_xor("x").alias("x"), F.sum("m").cast("decimal(38,0)").alias("m")).select(*run, key.alias("set"))
+        chosen = crowd.select(*run, "set").union(several).groupBy("set").agg(F.min(F.struct(*run)).alias("g")).select("g.*")
+        of_windows = self.windows.join(chosen, run, "left_semi").join(self.kinds.select(*kind, "ctx", "n_left"), kind)
+        of_windows = checkpointed(of_windows.select(*run, "l", "r", F.substring("ctx", F.col("n_left") - F.col("a") + 1, F.lit(span)).alias("t")))
+        unlike = of_windows.groupBy(*run).agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi")
+        if unlike.limit(1).count():
+            raise ArithmeticError("two stretches of one name")
+        of_crowds = crowd.join(chosen, run, "left_semi").select(*run, "l", "r")
+        held = of_windows.select(*run, "l", "r").union(of_crowds)
+        return held.join(self.contexts.select(*kind, "c1", "c2"), kind).select(*run, "c1", "c2").distinct()
+
+    def pairs(self) -> DataFrame:
+        """(a, b), a < b: documents with at least one run of span characters in common."""
+        c = F.struct("c1", "c2")
+        classes = _pairs_within(self.sets().select(F.struct("h", "w1", "w2").alias("g"), c.alias("x"))).distinct()
+        m = self.members.select("id", c.alias("c"))
+        blocks = m.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        placed = m.join(blocks, "c").select("c", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("k"))
+        for side, out in (("a", "x"), ("b", "y")):  # the copies of one text in blocks, so that no text is one task
+            many = classes.join(blocks.select(F.col("c").alias(side), "blocks"), side).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+            classes = many.join(placed.select(F.col("c").alias(side), "k", F.col("id").alias(out)), [side, "k"]).drop("k")
+        within = _pairs_within(m.select(F.col("c").alias("g"), F.col("id").alias("x")))
+        return classes.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(within)
+
+
+def _fenced(df: DataFrame) -> DataFrame:
+    """The same rows, behind a fence: no filter, join or column choice moves below it, so that what lies below is one exchange for all its uses."""
+    return df.withColumn("__row", F.monotonically_increasing_id()).where("__row >= 0").drop("__row")
+
+
+def _of_several_texts(names: DataFrame) -> DataFrame:
+    """Names (c1, c2, at, h, sure) that stand in more than one text: c1, c2, at, h.
+
+    All rows are exchanged once, by name; those that are sure by name and text, as their name may stand anywhere.
+    """
+    part = F.when(F.col("sure"), 1 + F.pmod(F.xxhash64("c1", "c2"), F.lit(SALTS))).otherwise(0).cast("int")
+    placed = _fenced(names.withColumn("part", part).repartition("h", "part"))
+    who = F.struct("c1", "c2")
+    counted = placed.where("not sure").groupBy("h", "part").agg(F.min(who).alias("lo"), F.max(who).alias("hi"), F.max("at").alias("at")).where("lo <> hi and at >= 0")
+    rest = placed.where("not sure").join(counted.select("h", "part"), ["h", "part"], "left_semi")
+    return placed.where("sure").select("c1", "c2", "at", "h").union(rest.select("c1", "c2", "at", "h"))
+
+
+def _shared(rows: DataFrame, name: list[str], who: Column, like: str) -> DataFrame:
+    """The rows whose ``name`` stands in more than one ``who`` (a 64-bit hash), and ``same``, whether all of the name agree in ``like``.
+
+    Least and greatest who of a name are aggregated before any exchange and per part of who, of which there are SALTS; the names that are
+    kept go back to just the parts that they have. So a name that stands everywhere is many tasks.
+    """
+    placed = rows.withColumn("__part", F.pmod(who, F.lit(SALTS)).cast("int"))
+    parts = placed.groupBy(*name, "__part").agg(F.min(who).alias("lo"), F.max(who).alias("hi"), F.min(like).alias("lo2"), F.max(like).alias("hi2"))
+    mask = F.bit_or(F.expr("shiftleft(1, __part)"))
+    several = parts.groupBy(*name).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), (F.min("lo2") == F.max("hi2")).alias("same"), mask.alias("mask")).where("lo <> hi")
+    its = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda p: F.getbit(F.col("mask"), p) == 1)
+    return placed.join(several.select(*name, "same", F.explode(its).alias("__part")), [*name, "__part"]).select(*rows.columns, "same")
+
+
+def _pairs_within(rows: DataFrame) -> DataFrame:
+    """(a, b), a < b, for all x of one g. A large group is dealt to blocks of BLOCK, and each two of them meet by themselves, so that a task makes no more than BLOCK squared."""
+    blocks = rows.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 0")
+    placed = rows.join(blocks, "g").withColumn("k", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    left = placed.select("g", F.col("x").alias("a"), "k", F.explode(every).alias("k2"))
+    right = placed.select("g", F.col("x").alias("b"), F.explode(every).alias("k"), F.col("k").alias("k2"))
+    return left.join(right, ["g", "k", "k2"]).where("a < b").select("a", "b")

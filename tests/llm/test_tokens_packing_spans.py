@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.llm.packing import fill, fill_report, pack
-from colloquy.llm.shared_spans import SPAN, SharedSpans, Texts, kept_boundaries
+from colloquy.llm.shared_spans import SPAN, Limits, SharedSpans, Texts, kept_boundaries
 
 tokenizers = pytest.importorskip("tokenizers")
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -88,8 +88,8 @@ def test_shards_are_packed_together(spark):
     assert (none.containers, none.n_tokens, none.least_containers) == (0, 0, 0)
 
 
-def windows(t):
-    return {t[i : i + SPAN] for i in range(len(t) - SPAN + 1)}
+def windows(t, span=SPAN):
+    return {t[i : i + span] for i in range(len(t) - span + 1)}
 
 
 def documents(seed):
@@ -131,6 +131,37 @@ def test_shared_spans(spark, seed):
             assert shared[i] == int((np.cumsum(cover) > 0).sum()), i
 
 
+@pytest.mark.parametrize("span", [24, 50, 101])
+def test_other_lengths(spark, span):
+    docs = [d if d is None else d[:3000] for d in documents(span)]
+    s = SharedSpans(spark.createDataFrame(list(enumerate(docs)), "id int, text string"), "id", "text", span)
+    w = [windows(t or "", span) for t in docs]
+    assert sorted((x.a, x.b) for x in s.pairs().collect()) == sorted((a, b) for a in range(len(docs)) for b in range(a + 1, len(docs)) if w[a] & w[b])
+    shared = {x.id: x.shared for x in s.shared_characters().collect()}
+    for i, t in enumerate(docs):
+        if t and len(t) >= span:
+            elsewhere = set().union(*(x for k, x in enumerate(w) if k != i))
+            cover = np.zeros(len(t), bool)
+            for k in range(len(t) - span + 1):
+                if t[k : k + span] in elsewhere:
+                    cover[k : k + span] = True
+            assert shared[i] == int(cover.sum()), i
+    with pytest.raises(ValueError, match="24"):
+        Limits(23)
+
+
+def test_one_passage_in_very_many_texts(spark):
+    r = random.Random(3)
+    word = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9))) for _ in range(n))
+    licence = word(80)
+    rows = [(i, f"{word(30)} {licence} {word(30)}") for i in range(3000)] + [(5000 + i, licence) for i in range(500)] + [(9000, word(200))]
+    s = SharedSpans(spark.createDataFrame(rows, "id int, text string").repartition(4), "id", "text")
+    least = len(licence)
+    shared = {x.id: x.shared for x in s.shared_characters().collect()}
+    assert all(least <= shared[i] <= least + 30 for i, _ in rows[:3000]) and shared[9000] == 0 and shared[5000] == least
+    assert s.pairs().count() == 3500 * 3499 // 2
+
+
 def test_every_stretch_keeps_a_boundary():
     r = random.Random(7)
     for _ in range(40):
@@ -138,7 +169,7 @@ def test_every_stretch_keeps_a_boundary():
         p = np.array([ord(c) for c in t], np.int32)
         _, at, _ = kept_boundaries(Texts(p, np.array([0, len(p)])))
         for i in range(0, len(t) - SPAN + 1):
-            assert ((at >= i + 60) & (at <= i + SPAN - 60)).any()
+            assert ((at >= i + Limits().reach) & (at <= i + SPAN - Limits().reach)).any()
         cut = r.randrange(0, len(t) - SPAN)  # the same stretch alone keeps a boundary that the whole text keeps too
         part = p[cut : cut + SPAN]
         _, alone, _ = kept_boundaries(Texts(part, np.array([0, SPAN])))
