@@ -227,6 +227,22 @@ def _names(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(place), pa.array(name.view(np.int64)[take]), pa.array(flags)], ["c1", "c2", "at", "h", "sure"])
 
 
+CONTEXT = pa.schema([("h", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("at", pa.int32()), ("ctx", pa.string()), ("n_left", pa.int32())])
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[pa.RecordBatch]:
+    """(c1, c2, text, marks of (h, at)) -> h, c1, c2, at, the text around it (ctx) and the characters of that before the name's own (n_left)."""
+    far = limits.reach + limits.extra
+    for b in batches:
+        for i in range(b.num_rows):  # texts of any length, one at a time
+            text, marks = b.column(2)[i].as_py(), b.column(3)[i].values
+            at = np.asarray(marks.field(1)).astype(np.int64)
+            first = np.maximum(at - far, 0)
+            around = [text[x:y] for x, y in zip(first.tolist(), (at + far).tolist(), strict=True)]
+            same = [pa.array(np.full(len(at), b.column(k)[i].as_py(), np.int64)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([marks.field(0), *same, pa.array(at.astype(np.int32)), pa.array(around, pa.string()), pa.array((at - limits.reach - first).astype(np.int32))], schema=CONTEXT)
+
+
 class SharedSpans:
     """What the documents of a table share.
 
@@ -243,49 +259,43 @@ class SharedSpans:
         texts = keyed.groupBy("c1", "c2").agg(F.first("text").alias("text"))  # copies are dropped before the exchange, as far as they meet in a task
         names = texts.mapInArrow(lambda it: _names(it, limits), "c1 bigint, c2 bigint, at int, h bigint, sure boolean")
         marks = _of_several_texts(names).groupBy("c1", "c2").agg(F.collect_set(F.struct("h", "at")).alias("marks"))  # of one text
-        self.contexts = checkpointed(self._contexts(texts.join(marks, ["c1", "c2"])))
+        around = texts.join(marks, ["c1", "c2"]).select("c1", "c2", "text", "marks").mapInArrow(lambda it: _contexts(it, limits), "h bigint, c1 bigint, c2 bigint, at int, ctx string, n_left int")
+        self.contexts = checkpointed(around.withColumn("l", F.xxhash64("ctx", "n_left")))
         self._runs()
 
-    def _contexts(self, marked: DataFrame) -> DataFrame:
-        """h, c1, c2, at, the text around it (ctx), characters of that before the name's own (n_left), and a name of both (l, r)."""
-        reach, extra, m = self.limits.reach, self.limits.extra, F.col("at")
-        each = marked.select("c1", "c2", "text", F.explode("marks").alias("m")).select("c1", "c2", "text", "m.h", "m.at")
-        first = F.greatest(m - reach - extra, F.lit(0))
-        x = each.select("h", "c1", "c2", "at", F.substring("text", first + 1, m + reach + extra - first).alias("ctx"), (m - reach - first).alias("n_left"))
-        return x.withColumns({"l": F.xxhash64("ctx", "n_left"), "r": F.xxhash64(F.lit(11), "ctx", "n_left")})
-
     def _runs(self) -> None:
-        """Kinds of context (h, l, r) and the texts they stand in; ``windows``: the stretches of span characters (h, w1, w2) that several kinds have, and where."""
+        """Kinds of context (h, l) and the texts they stand in; ``windows``: the stretches of span characters (h, w1, w2) that several kinds have, and where."""
         span, extra = self.limits.span, self.limits.extra
-        kind, who, code = ["h", "l", "r"], F.struct("c1", "c2"), F.xxhash64("c1", "c2")
-        signature = [F.count("*").alias("n"), F.sum(code.cast("decimal(38,0)")).alias("s"), F.bit_xor(code).alias("x"), F.sum(F.shiftright(code, 20).cast("decimal(38,0)") * F.shiftright(F.xxhash64("c2", "c1"), 32)).alias("m")]
+        kind, who = ["h", "l"], F.struct("c1", "c2")
+        halves = [h for seed in (1, 2) for h in (F.shiftright(F.xxhash64(F.lit(seed), "c1", "c2"), 32), F.xxhash64(F.lit(seed), "c1", "c2").bitwiseAND(F.lit(2**32 - 1)))]
         one = F.when(F.min("ctx") == F.max("ctx"), F.min("ctx")).otherwise(F.raise_error(F.lit("two texts of one name")).cast("string"))
-        c = self.contexts
-        self.kinds = kinds = checkpointed(c.groupBy(*kind).agg(one.alias("ctx"), F.first("n_left").alias("n_left"), F.min(who).alias("lo"), F.max(who).alias("hi"), *signature))
+        signature = [F.count("*").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(halves))]
+        self.kinds = kinds = checkpointed(self.contexts.groupBy(*kind).agg(one.alias("ctx"), F.first("n_left").alias("n_left"), F.min(who).alias("lo"), F.max(who).alias("hi"), *signature))
         # how far a stretch of span characters may begin before the name's own text
         ahead, behind = F.least("n_left", F.lit(extra)), F.greatest(F.lit(extra) - (F.length("ctx") - F.col("n_left") - 2 * self.limits.reach), F.lit(0))
-        several = c.groupBy("h").agg(F.min(F.struct("l", "r")).alias("lo"), F.max(F.struct("l", "r")).alias("hi")).where("lo <> hi").select("h")
+        several = kinds.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
         some = kinds.select(*kind, "ctx", "n_left").where(behind <= ahead).join(several, "h", "left_semi")
         k, last = F.col("k"), F.lit(-(-extra // STRIDE) - 1)
         long = some.select(*kind, "ctx", "n_left", F.explode(F.sequence(F.least(F.floor(behind / STRIDE), last), F.least(F.floor(ahead / STRIDE), last))).alias("k"))
         stretch_at = lambda a, n: F.substring("ctx", (F.col("n_left") - a + 1).cast("int"), F.lit(n))
         here, there = k * STRIDE, F.least((k + 1) * STRIDE, F.lit(extra))
         # every stretch that begins k to k + 1 STRIDEs ahead holds this one of span - STRIDE characters; ends: the first and last of those stretches, if there are both
-        ends = F.when((here >= behind) & (there <= ahead), F.xxhash64(stretch_at(here, span), stretch_at(there, span))).otherwise(F.xxhash64("l", "r"))
+        ends = F.when((here >= behind) & (there <= ahead), F.xxhash64(stretch_at(here, span), stretch_at(there, span))).otherwise(F.col("l"))
         long = long.select(*kind, "k", F.xxhash64(stretch_at(here, span - STRIDE)).alias("w"), ends.alias("ends"))
-        near = _shared(long, ["h", "k", "w"], F.xxhash64("l", "r"), "ends").select(*kind, "k", "same").join(some, kind)
+        near = _shared(long, ["h", "k", "w"], F.col("l"), "ends").select(*kind, "k", "same").join(some, kind)
         a = F.col("a")
         # kinds that have both ends in common have all stretches between them in common, and nobody else has one of them
         fine = F.sequence(F.greatest(behind, here).cast("int"), F.least(ahead, F.when(k == last, F.lit(extra)).otherwise(there - 1)).cast("int"))
-        every = near.select(*kind, "ctx", "n_left", F.explode(F.when(F.col("same"), F.array(here.cast("int"), there.cast("int"))).otherwise(fine)).alias("a")).distinct()
+        edges = F.when(k == last, F.array(here.cast("int"), there.cast("int"))).otherwise(F.array(here.cast("int")))  # there is the next one's here
+        every = near.select(*kind, "ctx", "n_left", F.explode(F.when(F.col("same"), edges).otherwise(fine)).alias("a"))
         stretch = F.substring("ctx", F.col("n_left") - a + 1, F.lit(span))
         named = every.select(*kind, "a", F.xxhash64(stretch).alias("w1"), F.xxhash64(F.lit(13), stretch).alias("w2"))
-        self.windows = checkpointed(_shared(named, ["h", "w1", "w2"], F.xxhash64("l", "r"), "a").select(*kind, "a", "w1", "w2"))
+        self.windows = checkpointed(_shared(named, ["h", "w1", "w2"], F.col("l"), "a").select(*kind, "a", "w1", "w2"))
 
     def shared_characters(self) -> DataFrame:
         """(id, n, shared): characters of each document of at least the span, and how many stand in a span that another document has too."""
         span, reach = self.limits.span, self.limits.reach
-        kind = ["h", "l", "r"]
+        kind = ["h", "l"]
         texts = self.kinds.select(*kind, "lo", "hi")
         apart = self.windows.join(texts, kind).groupBy("h", "w1", "w2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("h", "w1", "w2")  # a text doesn't share with itself
         far = self.windows.join(apart, ["h", "w1", "w2"], "left_semi").groupBy(*kind).agg(F.max("a").alias("before"), F.min("a").alias("after"))
@@ -304,19 +314,18 @@ class SharedSpans:
 
         Neighbouring stretches of one copied passage have the same texts behind them; one of them stands for all.
         """
-        kind, run, key = ["h", "l", "r"], ["h", "w1", "w2"], F.struct("n", "s", "x", "m")
+        kind, run, sums = ["h", "l"], ["h", "w1", "w2"], ["n", "s0", "s1", "s2", "s3"]
         span = self.limits.span
-        crowd = self.kinds.where((F.col("lo") != F.col("hi")) & (F.length("ctx") >= span)).select(*kind, F.col("l").alias("w1"), F.col("r").alias("w2"), key.alias("set"))
-        several = self.windows.join(self.kinds.select(*kind, "n", "s", "x", "m"), kind)
-        several = several.groupBy(*run).agg(F.sum("n").alias("n"), F.sum("s").cast("decimal(38,0)").alias("s"), F.bit_xor("x").alias("x"), F.sum("m").cast("decimal(38,0)").alias("m")).select(*run, key.alias("set"))
-        chosen = crowd.select(*run, "set").union(several).groupBy("set").agg(F.min(F.struct(*run)).alias("g")).select("g.*")
+        crowd = self.kinds.where((F.col("lo") != F.col("hi")) & (F.length("ctx") >= span)).select(*kind, F.col("l").alias("w1"), F.lit(0).cast("bigint").alias("w2"), *sums)
+        several = self.windows.join(self.kinds.select(*kind, *sums), kind).groupBy(*run).agg(*(F.sum(x).alias(x) for x in sums))
+        chosen = crowd.select(*run, *sums).union(several).groupBy(*sums).agg(F.min(F.struct(*run)).alias("g")).select("g.*")
         of_windows = self.windows.join(chosen, run, "left_semi").join(self.kinds.select(*kind, "ctx", "n_left"), kind)
-        of_windows = checkpointed(of_windows.select(*run, "l", "r", F.substring("ctx", F.col("n_left") - F.col("a") + 1, F.lit(span)).alias("t")))
+        of_windows = checkpointed(of_windows.select(*run, "l", F.substring("ctx", F.col("n_left") - F.col("a") + 1, F.lit(span)).alias("t")))
         unlike = of_windows.groupBy(*run).agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi")
         if unlike.limit(1).count():
             raise ArithmeticError("two stretches of one name")
-        of_crowds = crowd.join(chosen, run, "left_semi").select(*run, "l", "r")
-        held = of_windows.select(*run, "l", "r").union(of_crowds)
+        of_crowds = crowd.join(chosen, run, "left_semi").select(*run, "l")
+        held = of_windows.select(*run, "l").union(of_crowds)
         return held.join(self.contexts.select(*kind, "c1", "c2"), kind).select(*run, "c1", "c2").distinct()
 
     def pairs(self) -> DataFrame:
@@ -345,10 +354,10 @@ def _of_several_texts(names: DataFrame) -> DataFrame:
     """
     part = F.when(F.col("sure"), 1 + F.pmod(F.xxhash64("c1", "c2"), F.lit(SALTS))).otherwise(0).cast("int")
     placed = _fenced(names.withColumn("part", part).repartition("h", "part"))
-    who = F.struct("c1", "c2")
+    who = F.xxhash64("c1", "c2")
     counted = placed.where("not sure").groupBy("h", "part").agg(F.min(who).alias("lo"), F.max(who).alias("hi"), F.max("at").alias("at")).where("lo <> hi and at >= 0")
-    rest = placed.where("not sure").join(counted.select("h", "part"), ["h", "part"], "left_semi")
-    return placed.where("sure").select("c1", "c2", "at", "h").union(rest.select("c1", "c2", "at", "h"))
+    found = placed.join(counted.select("h", "part", F.lit(True).alias("found")), ["h", "part"], "left").where("sure or found")
+    return found.select("c1", "c2", "at", "h")
 
 
 def _shared(rows: DataFrame, name: list[str], who: Column, like: str) -> DataFrame:
@@ -367,7 +376,7 @@ def _shared(rows: DataFrame, name: list[str], who: Column, like: str) -> DataFra
 
 def _pairs_within(rows: DataFrame) -> DataFrame:
     """(a, b), a < b, for all x of one g. A large group is dealt to blocks of BLOCK, and each two of them meet by themselves, so that a task makes no more than BLOCK squared."""
-    blocks = rows.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 0")
+    blocks = rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     placed = rows.join(blocks, "g").withColumn("k", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     left = placed.select("g", F.col("x").alias("a"), "k", F.explode(every).alias("k2"))
