@@ -14,10 +14,11 @@ more than one text, each round by one aggregation and a join of the names it kee
 1. A boundary between symbols is named by the text within one reach of it. Of these
    names those are kept that are smallest within some stretch of span - 2 * reach + 1 characters; a
    shared span of span characters then always holds a kept boundary, with the same name in both texts.
-2. Around the boundaries whose name is shared, the stretches of span - STRIDE characters at every STRIDE.
-3. Within the shared ones of those, all stretches of span characters.
+2. A shared name paired with as much of the text before it, or behind it, as half of what the span has beside the name.
+3. Around the boundaries that have such a pair in common, the stretches of span - STRIDE characters at every STRIDE.
+4. Within the shared ones of those, the stretches of span characters.
 
-What round 3 keeps is what is shared. No round makes pairs: a symbol's texts are counted by their least and
+What round 4 keeps is what is shared. No round makes pairs: a symbol's texts are counted by their least and
 greatest. Pairs are only made when they are asked for, once for each set of texts, and every one that comes
 out has been compared as text.
 
@@ -267,14 +268,18 @@ class SharedSpans:
         """Kinds of context (h, l) and the texts they stand in; ``windows``: the stretches of span characters (h, w1, w2) that several kinds have, and where."""
         span, extra = self.limits.span, self.limits.extra
         kind, who = ["h", "l"], F.struct("c1", "c2")
-        halves = [h for seed in (1, 2) for h in (F.shiftright(F.xxhash64(F.lit(seed), "c1", "c2"), 32), F.xxhash64(F.lit(seed), "c1", "c2").bitwiseAND(F.lit(2**32 - 1)))]
+        words = [h for seed in (1, 2) for h in (F.shiftright(F.xxhash64(F.lit(seed), "c1", "c2"), 32), F.xxhash64(F.lit(seed), "c1", "c2").bitwiseAND(F.lit(2**32 - 1)))]
         one = F.when(F.min("ctx") == F.max("ctx"), F.min("ctx")).otherwise(F.raise_error(F.lit("two texts of one name")).cast("string"))
-        signature = [F.count("*").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(halves))]
+        signature = [F.count("*").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(words))]
         self.kinds = kinds = checkpointed(self.contexts.groupBy(*kind).agg(one.alias("ctx"), F.first("n_left").alias("n_left"), F.min(who).alias("lo"), F.max(who).alias("hi"), *signature))
         # how far a stretch of span characters may begin before the name's own text
         ahead, behind = F.least("n_left", F.lit(extra)), F.greatest(F.lit(extra) - (F.length("ctx") - F.col("n_left") - 2 * self.limits.reach), F.lit(0))
-        several = kinds.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
-        some = kinds.select(*kind, "ctx", "n_left").where(behind <= ahead).join(several, "h", "left_semi")
+        # a shared stretch of span characters holds the half before the name's own text or the half behind it
+        half, n_left = extra // 2, F.col("n_left")
+        before = F.when(n_left >= half, F.struct(F.lit(0).alias("side"), F.xxhash64(F.substring("ctx", n_left - half + 1, F.lit(half))).alias("w")))
+        after = F.when(F.length("ctx") - n_left - 2 * self.limits.reach >= half, F.struct(F.lit(1).alias("side"), F.xxhash64(F.substring("ctx", n_left + 2 * self.limits.reach + 1, F.lit(half))).alias("w")))
+        halves = kinds.where(behind <= ahead).select(*kind, F.explode(F.array_compact(F.array(before, after))).alias("x")).select(*kind, "x.*")
+        some = kinds.select(*kind, "ctx", "n_left").join(_shared(halves, ["h", "side", "w"], F.col("l"), "l").select(*kind).distinct(), kind, "left_semi")
         k, last = F.col("k"), F.lit(-(-extra // STRIDE) - 1)
         long = some.select(*kind, "ctx", "n_left", F.explode(F.sequence(F.least(F.floor(behind / STRIDE), last), F.least(F.floor(ahead / STRIDE), last))).alias("k"))
         stretch_at = lambda a, n: F.substring("ctx", (F.col("n_left") - a + 1).cast("int"), F.lit(n))
@@ -282,13 +287,14 @@ class SharedSpans:
         # every stretch that begins k to k + 1 STRIDEs ahead holds this one of span - STRIDE characters; ends: the first and last of those stretches, if there are both
         ends = F.when((here >= behind) & (there <= ahead), F.xxhash64(stretch_at(here, span), stretch_at(there, span))).otherwise(F.col("l"))
         long = long.select(*kind, "k", F.xxhash64(stretch_at(here, span - STRIDE)).alias("w"), ends.alias("ends"))
-        near = _shared(long, ["h", "k", "w"], F.col("l"), "ends").select(*kind, "k", "same").join(some, kind)
-        a = F.col("a")
-        # kinds that have both ends in common have all stretches between them in common, and nobody else has one of them
-        fine = F.sequence(F.greatest(behind, here).cast("int"), F.least(ahead, F.when(k == last, F.lit(extra)).otherwise(there - 1)).cast("int"))
-        edges = F.when(k == last, F.array(here.cast("int"), there.cast("int"))).otherwise(F.array(here.cast("int")))  # there is the next one's here
-        every = near.select(*kind, "ctx", "n_left", F.explode(F.when(F.col("same"), edges).otherwise(fine)).alias("a"))
-        stretch = F.substring("ctx", F.col("n_left") - a + 1, F.lit(span))
+        near = _fenced(_shared(long, ["h", "k", "w"], F.col("l"), "ends").select(*kind, "k", "same", "group"))
+        # kinds that have both ends in common have all stretches between them in common, and nobody else has one of them; of STRIDEs next to each other with the same kinds the outer ends are enough
+        even = near.where("same").groupBy(*kind, "group").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+        even = even.select(*kind, F.explode(F.array(F.col("lo") * STRIDE, F.least((F.col("hi") + 1) * STRIDE, F.lit(extra)))).alias("a")).select(*kind, "a", "a")
+        fine = near.where("not same").select(*kind, here, F.when(k == last, F.lit(extra)).otherwise(there - 1))
+        asked = even.toDF(*kind, "lo", "hi").union(fine.toDF(*kind, "lo", "hi")).join(some, kind)
+        every = asked.select(*kind, "ctx", "n_left", F.explode(F.sequence(F.greatest(behind, F.col("lo")).cast("int"), F.least(ahead, F.col("hi")).cast("int"))).alias("a"))
+        stretch = stretch_at(F.col("a"), span)
         named = every.select(*kind, "a", F.xxhash64(stretch).alias("w1"), F.xxhash64(F.lit(13), stretch).alias("w2"))
         self.windows = checkpointed(_shared(named, ["h", "w1", "w2"], F.col("l"), "a").select(*kind, "a", "w1", "w2"))
 
@@ -331,7 +337,7 @@ class SharedSpans:
     def pairs(self) -> DataFrame:
         """(a, b), a < b: documents with at least one run of span characters in common."""
         c = F.struct("c1", "c2")
-        classes = _pairs_within(self.sets().select(F.struct("h", "w1", "w2").alias("g"), c.alias("x"))).distinct()
+        classes = _pairs_within(checkpointed(self.sets()).select(F.struct("h", "w1", "w2").alias("g"), c.alias("x"))).distinct()
         m = self.members.select("id", c.alias("c"))
         blocks = m.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         placed = m.join(blocks, "c").select("c", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("k"))
@@ -343,8 +349,8 @@ class SharedSpans:
 
 
 def _fenced(df: DataFrame) -> DataFrame:
-    """The same rows, behind a fence: no filter, join or column choice moves below it, so that what lies below is one exchange for all its uses."""
-    return df.withColumn("__row", F.monotonically_increasing_id()).where("__row >= 0").drop("__row")
+    """The same rows, behind a fence: no filter, join or choice of columns moves below it, so that what lies below is one exchange for all its uses."""
+    return df.withColumn("__row", F.monotonically_increasing_id() + F.pmod(F.hash(*df.columns), F.lit(1))).where("__row >= 0").drop("__row")
 
 
 def _of_several_texts(names: DataFrame) -> DataFrame:
@@ -355,23 +361,25 @@ def _of_several_texts(names: DataFrame) -> DataFrame:
     part = F.when(F.col("sure"), 1 + F.pmod(F.xxhash64("c1", "c2"), F.lit(SALTS))).otherwise(0).cast("int")
     placed = _fenced(names.withColumn("part", part).repartition("h", "part"))
     who = F.xxhash64("c1", "c2")
-    counted = placed.where("not sure").groupBy("h", "part").agg(F.min(who).alias("lo"), F.max(who).alias("hi"), F.max("at").alias("at")).where("lo <> hi and at >= 0")
+    counted = placed.where("not sure").groupBy("h", "part").agg(F.min(who).alias("lo"), F.max(who).alias("hi")).where("lo <> hi")
     found = placed.join(counted.select("h", "part", F.lit(True).alias("found")), ["h", "part"], "left").where("sure or found")
     return found.select("c1", "c2", "at", "h")
 
 
 def _shared(rows: DataFrame, name: list[str], who: Column, like: str) -> DataFrame:
-    """The rows whose ``name`` stands in more than one ``who`` (a 64-bit hash), and ``same``, whether all of the name agree in ``like``.
+    """The rows whose ``name`` stands in more than one ``who`` (a 64-bit hash), with ``same``, whether all of the name agree in ``like``, and ``group``, a hash of all who.
 
-    Least and greatest who of a name are aggregated before any exchange and per part of who, of which there are SALTS; the names that are
-    kept go back to just the parts that they have. So a name that stands everywhere is many tasks.
+    Rows are exchanged once, by name and part of who, of which there are SALTS, so that a name that stands everywhere is many tasks; its least
+    and greatest who are found within the parts, then over them, and the names that are kept go back to just the parts that they have.
     """
-    placed = rows.withColumn("__part", F.pmod(who, F.lit(SALTS)).cast("int"))
-    parts = placed.groupBy(*name, "__part").agg(F.min(who).alias("lo"), F.max(who).alias("hi"), F.min(like).alias("lo2"), F.max(like).alias("hi2"))
+    placed = _fenced(rows.withColumn("__part", F.pmod(who, F.lit(SALTS)).cast("int")).repartition(*name, "__part"))
+    total = F.sum(F.shiftright(F.xxhash64(who), 32))
+    parts = placed.groupBy(*name, "__part").agg(F.min(who).alias("lo"), F.max(who).alias("hi"), F.min(like).alias("lo2"), F.max(like).alias("hi2"), F.count("*").alias("n"), total.alias("s"))
     mask = F.bit_or(F.expr("shiftleft(1, __part)"))
-    several = parts.groupBy(*name).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), (F.min("lo2") == F.max("hi2")).alias("same"), mask.alias("mask")).where("lo <> hi")
+    group = F.xxhash64(F.min("lo"), F.max("hi"), F.sum("n"), F.sum("s"))
+    several = parts.groupBy(*name).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), (F.min("lo2") == F.max("hi2")).alias("same"), group.alias("group"), mask.alias("mask")).where("lo <> hi")
     its = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda p: F.getbit(F.col("mask"), p) == 1)
-    return placed.join(several.select(*name, "same", F.explode(its).alias("__part")), [*name, "__part"]).select(*rows.columns, "same")
+    return placed.join(several.select(*name, "same", "group", F.explode(its).alias("__part")), [*name, "__part"]).select(*rows.columns, "same", "group")
 
 
 def _pairs_within(rows: DataFrame) -> DataFrame:
