@@ -107,7 +107,7 @@ def pack(items: DataFrame, key: str, tokens: str, capacity: int, max_segments: i
     waiting = pieces.select(F.pmod(F.xxhash64("id", "piece_no"), F.lit(shards)).cast("int").alias("shard"), "id", "piece_no", "start", "size", "loss")
     done, level = [], 0
     while True:
-        got = checkpointed(waiting.groupBy("shard").applyInPandas(packer(level, shards == 1), "container string, id bigint, piece_no int, start int, n_tokens int, n_loss int, next int"))
+        got = checkpointed(waiting.repartition(shards, "shard").groupBy("shard").applyInPandas(packer(level, shards == 1), "container string, id bigint, piece_no int, start int, n_tokens int, n_loss int, next int"))
         done.append(got.where("next < 0").drop("next"))
         if shards == 1:
             break
