@@ -5,8 +5,8 @@ into shards of 65,536 units; what an entity covers of a shard is a run container
 that is a bitmap written as little-endian pairs of 16-bit (first bit, length - 1).
 Containers are united once within each map task, before the shuffle, and once after
 it, per (entity, shard) in a stream; so a busy entity is spread over as many tasks
-as it has shards and no group is ever held in memory. Runs that touch the edge of
-a shard are joined by a window over one small summary row per shard.
+as it has shards and no group is ever held in memory. Runs that have a neighbour on either side in their shard
+are final; only the first and last of each shard go on, as one small row, to a window that joins those that touch.
 """
 
 from __future__ import annotations
@@ -137,24 +137,25 @@ def periods_and_gaps(intervals: DataFrame, keys: list[str], start: str, end: str
     containers = cut.mapInArrow(lambda it: _containers_of(it, n), packed)
     shards = containers.repartition(*by).sortWithinPartitions(*by).mapInArrow(lambda it: _unite_sorted(it, n), listed)
 
+    n_runs = F.size("__lo")
+    at = lambda name, k: F.element_at(name, k).cast("bigint") + origin
+    row = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("s"), b.alias("e"))
+    # what lies wholly within a shard needs no neighbour and goes out as it is
+    inner_gaps = F.transform(F.sequence(F.lit(1), n_runs - 1), lambda k: row("gap", at("__hi", k), at("__lo", k + 1)))
+    inner_periods = F.when(n_runs > 2, F.transform(F.sequence(F.lit(2), n_runs - 1), lambda k: row("period", at("__lo", k), at("__hi", k)))).otherwise(F.array().cast("array<struct<kind:string,s:bigint,e:bigint>>"))
+    inner = shards.where(n_runs > 1).select(*keys, F.explode(F.concat(inner_gaps, inner_periods)).alias("__r"))
+    # the first and last run of each shard, one small row a shard, meet those of its neighbours
+    edge = shards.select(*keys, "__shard", n_runs.alias("__n"), at("__lo", 1).alias("__first"), at("__hi", 1).alias("__first_end"), at("__lo", -1).alias("__open"), at("__hi", -1).alias("__last"))
     w = Window.partitionBy(*keys).orderBy("__shard")
-    size = F.size("__lo")
-    summary = shards.select(
-        *keys, "__shard", "__lo", "__hi",
-        (F.element_at("__lo", 1) + origin).alias("__first"), (F.element_at("__lo", -1) + origin).alias("__open"), (F.element_at("__hi", -1) + origin).alias("__last"),
+    edge = edge.withColumns({"__before": F.lag("__last").over(w), "__after": F.lead("__first").over(w)}).withColumn("__left", F.coalesce(F.col("__before") == F.col("__first"), F.lit(False)))
+    opened = F.last(F.when((F.col("__n") > 1) | ~F.col("__left"), F.col("__open")), ignorenulls=True)
+    edge = edge.withColumn("__since", opened.over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    begin = F.when(F.col("__left"), F.col("__since")).otherwise(F.col("__first"))
+    goes_on = F.coalesce(F.col("__after") == F.col("__last"), F.lit(False))
+    outer = F.array(
+        F.when(~F.col("__left") & F.col("__before").isNotNull(), row("gap", F.col("__before"), F.col("__first"))),
+        F.when(F.col("__n") > 1, row("period", begin, F.col("__first_end"))),
+        F.when(~goes_on, row("period", F.when(F.col("__n") > 1, F.col("__open")).otherwise(begin), F.col("__last"))),
     )
-    before, after = F.lag("__last").over(w), F.lead("__first").over(w)
-    joined = summary.withColumns({"__before": before, "__after": after}).withColumn("__left", F.coalesce(F.col("__before") == F.col("__first"), F.lit(False)))
-    opened = F.last(F.when((size > 1) | ~F.col("__left"), F.col("__open")), ignorenulls=True)
-    joined = joined.withColumn("__since", opened.over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    i = F.col("__i")
-    run = F.explode(F.sequence(F.lit(1), size)).alias("__i")
-    runs = joined.select(*keys, "__shard", "__lo", "__hi", "__before", "__after", "__left", "__since", size.alias("__n"), run)
-    lo, hi = F.element_at("__lo", i).cast("bigint") + origin, F.element_at("__hi", i).cast("bigint") + origin
-    carried = (i == 1) & F.col("__left")
-    goes_on = (i == F.col("__n")) & F.coalesce(F.col("__after") == hi, F.lit(False))
-    earlier = F.when(i == 1, F.col("__before")).otherwise(F.element_at("__hi", F.greatest(i - 1, F.lit(1))).cast("bigint") + origin)
-    period = F.when(~goes_on, F.struct(F.lit("period").alias("kind"), F.when(carried, F.col("__since")).otherwise(lo).alias("s"), hi.alias("e")))
-    gap = F.when(~carried & earlier.isNotNull(), F.struct(F.lit("gap").alias("kind"), earlier.alias("s"), lo.alias("e")))
-    rows = runs.select(*keys, F.explode(F.filter(F.array(period, gap), lambda x: x.isNotNull())).alias("__r"))
+    rows = inner.union(edge.select(*keys, F.explode(F.array_compact(outer)).alias("__r")))
     return rows.select(*keys, F.col("__r.kind").alias("kind"), F.col("__r.s").alias(start), F.col("__r.e").alias(end))

@@ -1,7 +1,7 @@
 """Turn events, onsets and labels derived from merged activity segments.
 
 Segments are maximal runs [i, j) of frames per (conv_id, speaker). Nothing is expanded to
-frames: what lies ahead of or around a segment's edge is looked up by as-of sorts.
+frames: what lies ahead of or around a segment's edge is looked up in one sort per speaker and stretch of time.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from colloquy.operators.asof import last_at_or_before, next_at_or_after
+SHARD = 30_000  # frames of a stretch of time: ten minutes at 50 Hz
 
 
 def turn_events(seg: DataFrame, length: DataFrame, hz: float = 50, pause_s: float = 0.2, window_s: float = 3.0, bc_max_s: float = 1.0, overlap_s: float = 0.5, resume_s: float = 1.0) -> DataFrame:
@@ -21,29 +21,38 @@ def turn_events(seg: DataFrame, length: DataFrame, hz: float = 50, pause_s: floa
     both speakers' next starts is a HOLD.
     """
     p, w, bc, ot, rs = (int(x * hz) for x in (pause_s, window_s, bc_max_s, overlap_s, resume_s))
-    own = seg.withColumn("ns", F.lead("i").over(Window.partitionBy("conv_id", "speaker").orderBy("i")))
-    # the other speaker's segments under this speaker's name, so that keys are equal
-    other = seg.select("conv_id", (1 - F.col("speaker")).alias("speaker"), F.col("i").alias("oi"), F.col("j").alias("oj"))
-    keys = ["conv_id", "speaker"]
-    x = next_at_or_after(own, other, keys, "j", "oi", "next_o")
-    x = last_at_or_before(x, other, keys, "j", "oi", "oj", "end_cover", strict=True)  # of the other's segment that begins before j
-    x = last_at_or_before(x, other, keys, "i", "oi", "oj", "oe")  # of the one that begins at i or before
-    x = x.withColumn("oe", F.when(F.col("oe") > F.col("i"), F.col("oe")))
-    x = next_at_or_after(x.withColumn("oe0", F.coalesce("oe", F.lit(-1))), other, keys, "oe0", "oi", "o_res").join(length, "conv_id")
-    i, j, ns, oe = F.col("i"), F.col("j"), F.col("ns"), F.col("oe")
-    ends = (j + p <= F.col("t")) & (ns.isNull() | (ns - j >= p)) & ~F.coalesce(F.col("end_cover") >= j, F.lit(False))
-    soon = F.coalesce(F.col("next_o") < j + w, F.lit(False))
-    own_later = ns.isNull() | (ns >= j + w) | (F.col("next_o") < ns)
+    i, j, ns = F.col("i"), F.col("j"), F.col("ns")
+    own = seg.join(length, "conv_id").withColumn("ns", F.lead("i").over(Window.partitionBy("conv_id", "speaker").orderBy("i")))
+    # One list per speaker and stretch of time: the other speaker's segments in every stretch from which they can be seen, this
+    # one's starts and ends. At equal times an end comes before the other's start, a start after it.
+    nothing = F.lit(None).cast("bigint")
+    row = lambda speaker, shard, at, rank, oj, onext, keep: F.struct(
+        speaker.alias("speaker"), shard.cast("bigint").alias("shard"), at.alias("at"), F.lit(rank).alias("rank"), oj.alias("oj"), onext.alias("onext"), *((F.col(c) if keep else nothing).alias(c) for c in ("i", "j", "ns", "t"))
+    )
+    shards = F.sequence(F.greatest(F.floor((i - w) / SHARD), F.lit(0)), F.floor(j / SHARD))
+    seen = F.transform(shards, lambda k: row(1 - F.col("speaker"), k, i, 1, j, ns, False))
+    asked = F.array(row(F.col("speaker"), F.floor(j / SHARD), j, 0, nothing, nothing, True), row(F.col("speaker"), F.floor(i / SHARD), i, 2, nothing, nothing, True))
+    x = own.select("conv_id", F.explode(F.concat(seen, asked)).alias("x")).select("conv_id", "x.*")
+    here = Window.partitionBy("conv_id", "speaker", "shard")
+    before = F.last(F.when(F.col("rank") == 1, F.struct("oj", "onext")), ignorenulls=True).over(here.orderBy("at", "rank").rowsBetween(Window.unboundedPreceding, 0))
+    first = F.min(F.when(F.col("rank") == 1, F.col("at"))).over(here)
+    x = x.withColumns({"o": before, "first": first}).where("rank <> 1")
+    oe = F.col("o.oj")
+    next_o = F.when(F.col("o").isNull(), F.col("first")).otherwise(F.col("o.onext"))
+    ends = (j + p <= F.col("t")) & (ns.isNull() | (ns - j >= p)) & ~F.coalesce(oe >= j, F.lit(False))
+    soon = F.coalesce(next_o < j + w, F.lit(False))
+    own_later = ns.isNull() | (ns >= j + w) | (next_o < ns)
     end_event = F.when(ends, F.struct(j.alias("f"), F.col("speaker").alias("speaker"), F.when(soon & own_later, "SHIFT").otherwise("HOLD").alias("kind")))
-    resumes = F.coalesce(F.col("o_res") < oe + rs, F.lit(False))
+    resumes = F.coalesce(F.col("o.onext") < oe + rs, F.lit(False))
     outlasts = (j > oe) & ~resumes
     start_event = F.when(
-        (i > 0) & oe.isNotNull(),
+        (i > 0) & F.coalesce(oe > i, F.lit(False)),
         F.when((oe - i <= ot) & outlasts, F.struct(oe.alias("f"), (1 - F.col("speaker")).alias("speaker"), F.lit("SHIFT").alias("kind")))
         .when(outlasts, F.struct(i.alias("f"), F.col("speaker").alias("speaker"), F.lit("INTERRUPT").alias("kind")))
         .when(j - i <= bc, F.struct(i.alias("f"), F.col("speaker").alias("speaker"), F.lit("BACKCHANNEL").alias("kind"))),
     )
-    return x.select("conv_id", F.explode(F.array_compact(F.array(end_event, start_event))).alias("ev")).select("conv_id", "ev.*")
+    event = F.when(F.col("rank") == 0, end_event).otherwise(start_event)
+    return x.select("conv_id", event.alias("ev")).where("ev is not null").select("conv_id", "ev.*")
 
 
 def onsets(seg: DataFrame, min_gap: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from colloquy.operators.coverage import periods_and_gaps
 from colloquy.schema import FRAME_MS
-from colloquy.tables import millis, table
+from colloquy.tables import checkpointed, millis, table
 
 
 def frames(ms: str, width: int = FRAME_MS) -> F.Column:
@@ -24,9 +24,9 @@ def conversations(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversation").where("id is not null").select(F.col("id").alias("conv_id"), "source", F.when(ms > 0, ms).alias("ms"), F.col("meta")["domain"].alias("domain")).distinct()
 
 
-def utterances(spark: SparkSession, d: str) -> DataFrame:
-    """Usable utterances of speakers 0 and 1: utt_id, conv_id, speaker, s, e (ms), text, label."""
-    u = table(spark, d, "utterance").select("utt_id", "conv_id", "speaker", millis("start_s").alias("s"), millis("end_s").alias("e"), "text", "label")
+def utterances(spark: SparkSession, d: str, *extra: str) -> DataFrame:
+    """Usable utterances of speakers 0 and 1, each once: utt_id, conv_id, speaker, s, e (ms) and ``extra`` columns. What isn't asked for is neither read nor moved."""
+    u = table(spark, d, "utterance").select("utt_id", "conv_id", "speaker", millis("start_s").alias("s"), millis("end_s").alias("e"), *extra)
     return u.where("speaker in (0, 1) and e > s and conv_id is not null").distinct()
 
 
@@ -37,6 +37,12 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
     return periods_and_gaps(v, ["conv_id", "speaker"], "i", "j").where("kind = 'period'").drop("kind")
 
 
+def timeline(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Segments and lengths, the segments written once because several look-ups read them."""
+    seg = checkpointed(segments(spark, d))
+    return seg, lengths(spark, d, seg)
+
+
 def lengths(spark: SparkSession, d: str, seg: DataFrame | None = None) -> DataFrame:
     """conv_id, t: frames of a conversation; its duration or, if that is longer or missing, its last segment."""
     last = (segments(spark, d) if seg is None else seg).groupBy("conv_id").agg(F.max("j").alias("last"))

@@ -9,19 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from colloquy.operators import events as ops
-from colloquy.plans.base import CONV, LEN, SEG, lengths, segments, with_
+from colloquy.plans.base import CONV, LEN, SEG, segments, timeline, with_
 from colloquy.schema import onset_edges
-from colloquy.tables import checkpointed
 
 PAUSE, AHEAD, SHORT, TOLERATED, RESUME = 10, 150, 50, 25, 50  # frames at 50 Hz
 
 
-def timeline(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Segments and lengths, the segments written once because several look-ups read them."""
-    seg = checkpointed(segments(spark, d))
-    return seg, lengths(spark, d, seg)
-
-
 def events(spark: SparkSession, d: str) -> DataFrame:
     """Turn events of all conversations."""
     return ops.turn_events(*timeline(spark, d))

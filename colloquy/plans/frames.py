@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from colloquy.operators import frames as ops
 from colloquy.operators.coverage import periods_and_gaps
-from colloquy.plans.base import CONV, LEN, SEG, UTT, lengths, segments, utterances, with_
+from colloquy.plans.base import CONV, LEN, SEG, UTT, segments, timeline, utterances, with_
+from colloquy.tables import checkpointed
 
 
 def _active_counts(active: DataFrame, name: str) -> DataFrame:
@@ -15,22 +16,21 @@ def _active_counts(active: DataFrame, name: str) -> DataFrame:
 
 
 def vad_pool_any(spark: SparkSession, d: str) -> DataFrame:
-    return _active_counts(ops.pool(segments(spark, d), lengths(spark, d), 4), "chunk")
+    return _active_counts(ops.pool(*timeline(spark, d), 4), "chunk")
 
 
 def vad_pool_majority(spark: SparkSession, d: str) -> DataFrame:
-    return _active_counts(ops.pool(segments(spark, d), lengths(spark, d), 4, "majority"), "chunk")
+    return _active_counts(ops.pool(*timeline(spark, d), 4, "majority"), "chunk")
 
 
 def vad_resample_13hz(spark: SparkSession, d: str) -> DataFrame:
-    return _active_counts(ops.resample_any(segments(spark, d), lengths(spark, d), 13), "k")
+    return _active_counts(ops.resample_any(*timeline(spark, d), 13), "k")
 
 
 def future_activity_label(spark: SparkSession, d: str) -> DataFrame:
     """Frames at 12.5 Hz by class of future activity, per conversation."""
-    n = lengths(spark, d).select("conv_id", F.floor(F.col("t") / 4).alias("n"))
-    labels = ops.future_labels(ops.pool(segments(spark, d), lengths(spark, d), 4), n, 12.5)
-    return labels.groupBy("conv_id", "label").agg(F.count("*").alias("n"))
+    seg, length = timeline(spark, d)
+    return ops.future_label_counts(seg, length.select("conv_id", F.floor(F.col("t") / 4).alias("n")), 12.5, 4)
 
 
 def said_frames(spark: SparkSession, d: str) -> DataFrame:
@@ -50,13 +50,13 @@ def _common(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 def vad_agreement(spark: SparkSession, d: str) -> DataFrame:
     """Frames of each conversation and how many are alike in what was measured and what was said, over both speakers."""
-    both = _common(segments(spark, d), said_frames(spark, d).join(lengths(spark, d), "conv_id").where("i < t").withColumn("j", F.least("j", "t")).drop("t"), ["conv_id", "speaker"])
-    both = both.groupBy("conv_id").agg(F.sum("n").alias("both"))
-    seg = segments(spark, d).unionByName(said_frames(spark, d)).join(lengths(spark, d), "conv_id")
-    total = seg.groupBy("conv_id").agg(F.sum(F.greatest(F.least("j", "t") - F.least("i", "t"), F.lit(0))).alias("n"))
-    x = lengths(spark, d).where("t > 0").join(total, "conv_id", "left").join(both, "conv_id", "left")
-    differ = F.coalesce("n", F.lit(0)) - 2 * F.coalesce("both", F.lit(0))
-    return x.select("conv_id", (2 * F.col("t")).alias("n_frames"), (2 * F.col("t") - differ).alias("n_alike"))
+    seg, length = timeline(spark, d)
+    said = checkpointed(said_frames(spark, d).join(length, "conv_id").where("i < t").withColumn("j", F.least("j", "t")).drop("t"))
+    both = _common(seg, said, ["conv_id", "speaker"]).groupBy("conv_id").agg((-2 * F.sum("n")).alias("n"))
+    alone = seg.unionByName(said).groupBy("conv_id").agg(F.sum(F.col("j") - F.col("i")).alias("n"))  # a segment ends within its conversation
+    differ = alone.unionByName(both).groupBy("conv_id").agg(F.sum("n").alias("n"))
+    x = length.where("t > 0").join(differ, "conv_id", "left")
+    return x.select("conv_id", (2 * F.col("t")).alias("n_frames"), (2 * F.col("t") - F.coalesce("n", F.lit(0))).alias("n_alike"))
 
 
 def channel_swap(spark: SparkSession, d: str) -> DataFrame:

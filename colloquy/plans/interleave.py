@@ -11,7 +11,7 @@ from colloquy.plans.base import UTT, utterances, with_
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
     """conv_id, utt_id, speaker, tid, pos, end_ms, word."""
-    u = utterances(spark, d).where("text is not null").withColumn("w", F.filter(F.split("text", " "), lambda x: x != ""))
+    u = utterances(spark, d, "text").where("text is not null").withColumn("w", F.filter(F.split("text", " "), lambda x: x != ""))
     x = u.select("conv_id", "utt_id", "speaker", "s", "e", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
     end = F.col("s") + F.floor((F.col("pos") + 1) * (F.col("e") - F.col("s")) / F.col("n"))
     return x.select("conv_id", "utt_id", "speaker", (F.col("utt_id") * 1000 + F.col("pos")).alias("tid"), "pos", end.cast("bigint").alias("end_ms"), "word")
@@ -92,7 +92,7 @@ TAG = "tg AS (SELECT *, (e < n_chunks AND (lag(speaker) OVER w IS NULL OR lag(sp
 def token_char_span_align(spark: SparkSession, d: str) -> DataFrame:
     """Ends of the tokens of each utterance, pieces of four characters, from the ends of its words."""
     words = tokens(spark, d).groupBy("utt_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "end_ms"))).alias("items"))
-    u = utterances(spark, d).select("utt_id", "text").where("text <> ''")
+    u = utterances(spark, d, "text").select("utt_id", "text").where("text <> ''")
     n = F.length("text")
     pieces = F.transform(F.sequence(F.lit(0), n - 1, F.lit(4)), lambda a: F.struct(a.alias("a"), F.least(a + 4, n).alias("b")))
     return ops.token_char_span_align(u.join(words, "utt_id").withColumn("tokens", pieces), "utt_id")

@@ -11,6 +11,7 @@ from colloquy.plans import events as ev
 from colloquy.plans.base import CONV, SEG, UTT, conversations, segments, utterances, with_
 from colloquy.plans.frames import FR, SAID, _common, said_frames
 from colloquy.schema import BACKCHANNEL_LABELS
+from colloquy.tables import checkpointed
 
 GRID = list(range(0, 21))
 BUDGETS = [0.045, 0.06, 0.08, 0.10, 0.5]
@@ -19,7 +20,7 @@ BUDGETS = [0.045, 0.06, 0.08, 0.10, 0.5]
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     """Short utterances score high as back-channels; run: speaker, delay: length."""
     n = F.least(F.col("e") - F.col("s"), F.lit(2000))
-    return utterances(spark, d).where("label is not null").select("speaker", F.floor((2000 - n) / 100).cast("int").alias("score"), F.col("label").isin(*BACKCHANNEL_LABELS).alias("gold"), (F.col("e") - F.col("s")).cast("double").alias("delay"))
+    return utterances(spark, d, "label").where("label is not null").select("speaker", F.floor((2000 - n) / 100).cast("int").alias("score"), F.col("label").isin(*BACKCHANNEL_LABELS).alias("gold"), (F.col("e") - F.col("s")).cast("double").alias("delay"))
 
 
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
@@ -36,7 +37,7 @@ def operating_point(spark: SparkSession, d: str) -> DataFrame:
 
 def masked_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Frame-wise precision, recall and F1 of measured against said activity, per source as written."""
-    seg, said = segments(spark, d), said_frames(spark, d)
+    seg, said = checkpointed(segments(spark, d)), checkpointed(said_frames(spark, d))
     total = lambda x, n: x.groupBy("conv_id").agg(F.sum(F.col("j") - F.col("i")).alias(n))
     both = _common(seg, said, ["conv_id", "speaker"]).groupBy("conv_id").agg(F.sum("n").alias("tp"))
     x = conversations(spark, d).select("conv_id", "source").distinct().join(total(seg, "p"), "conv_id", "left").join(total(said, "t"), "conv_id", "left").join(both, "conv_id", "left")

@@ -19,7 +19,7 @@ def _clock(ms: F.Column) -> F.Column:
 
 def srt_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Utterances of each conversation and speaker written as subtitles and read again: conv_id, speaker, n, start and end sums, labelled, characters."""
-    u = utterances(spark, d).where("s >= 0 and text is not null and trim(text) <> ''")
+    u = utterances(spark, d, "text", "label").where("s >= 0 and text is not null and trim(text) <> ''")
     block = F.concat(F.col("utt_id").cast("string"), F.lit("\n"), _clock(F.col("s")), F.lit(" --> "), _clock(F.col("e")), F.lit("\n"), F.when(F.col("label").isNotNull(), F.concat(F.lit("["), "label", F.lit("] "))).otherwise(""), F.col("text"))
     files = u.groupBy("conv_id", "speaker").agg(F.array_join(F.sort_array(F.collect_list(block)), "\n\n").alias("srt"))
     back = readers.parse_srt(files, "srt", "conv_id", "speaker")

@@ -34,7 +34,7 @@ def normalize_all(spark: SparkSession, d: str) -> DataFrame:
 def pairs(spark: SparkSession, d: str) -> DataFrame:
     """An utterance and a line first delivered for the same conversation and start, however that is written, both with a text: utt_id, raw_id, speaker, s, e, ref, hyp, start_time."""
     raw = table(spark, d, "raw_utterance").select("raw_id", "conv_id", F.col("text").alias("hyp"), "start_time").distinct().withColumn("s", clock_ms(F.col("start_time")))
-    u = utterances(spark, d).select("utt_id", "conv_id", "speaker", "s", "e", F.col("text").alias("ref"))
+    u = utterances(spark, d, "text").select("utt_id", "conv_id", "speaker", "s", "e", F.col("text").alias("ref"))
     return u.join(raw, ["conv_id", "s"]).where("ref is not null and hyp is not null").select("utt_id", "raw_id", "speaker", "s", "e", "ref", "hyp", "start_time")
 
 

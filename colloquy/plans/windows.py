@@ -23,7 +23,7 @@ def silent_starts(spark: SparkSession, d: str) -> DataFrame:
 
 def window_exclusion(spark: SparkSession, d: str) -> DataFrame:
     """Windows without a laughing utterance."""
-    laughs = utterances(spark, d).where("label = 'Laughter'").select("conv_id", F.bround(F.col("s") / 20).cast("bigint").alias("s"), F.bround(F.col("e") / 20).cast("bigint").alias("e"))
+    laughs = utterances(spark, d, "label").where("label = 'Laughter'").select("conv_id", F.bround(F.col("s") / 20).cast("bigint").alias("s"), F.bround(F.col("e") / 20).cast("bigint").alias("e"))
     return ops.drop_touched(sliding_windows(spark, d), laughs, WINDOW, HOP)
 
 
