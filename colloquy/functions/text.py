@@ -44,6 +44,16 @@ def word_edits(ref: Column, hyp: Column) -> Column:
     return F.when(F.size(ref) == 0, F.size(hyp)).when(F.size(hyp) == 0, F.size(ref)).otherwise(F.element_at(table, -1))
 
 
+# Spacing, as Java and as RE2 write it.
+SPACES = r"[\t-\r\x1c-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+SPACES_SQL = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def stripped(c: Column) -> Column:
+    """Without spacing of any kind at either end."""
+    return F.regexp_replace(c, rf"^{SPACES}+|{SPACES}+$", "")
+
+
 def words(c: Column) -> Column:
     return F.filter(F.split(c, " "), lambda w: w != "")
 

@@ -61,17 +61,18 @@ def chunk_histogram(scheduled: DataFrame, length: DataFrame, key: str = "conv_id
     return some.unionByName(silent)
 
 
-def model_sequence(scheduled: DataFrame, length: DataFrame, key: str = "conv_id", chunk_ms: int = 80) -> DataFrame:
+def model_sequence(scheduled: DataFrame, length: DataFrame, key: str = "conv_id", chunk_ms: int = 80, slots: int = 1) -> DataFrame:
     """One row per item of the sequence: key, pos, kind (audio, tag, token, next), chunk, tid, label.
 
-    A chunk is an audio slot, its emissions and the sign for the next chunk. The label of an audio slot is
+    A chunk is an audio slot (or ``slots`` of them, one per speaker), its emissions and the sign for the next chunk. The label of an audio slot is
     -100; of a token its tid, of a tag -1 - speaker, of the sign -10.
     """
     n = F.ceil(F.col("ms") / chunk_ms).cast("int")
     spine = length.select(key, F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
     row = lambda order, sub, kind, chunk, tid, label: F.struct(chunk.cast("bigint").alias("chunk"), F.lit(order).alias("o"), sub.cast("bigint").alias("i"), F.lit(kind).alias("kind"), tid.cast("bigint").alias("tid"), label.cast("bigint").alias("label"))
     none, zero = F.lit(None), F.lit(0)
-    frame = spine.select(key, F.explode(F.array(row(0, zero, "audio", F.col("chunk"), none, F.lit(-100)), row(2, zero, "next", F.col("chunk"), none, F.lit(-10)))).alias("x"))
+    audio = [row(0, F.lit(k), "audio", F.col("chunk"), none, F.lit(-100)) for k in range(slots)]
+    frame = spine.select(key, F.explode(F.array(*audio, row(2, zero, "next", F.col("chunk"), none, F.lit(-10)))).alias("x"))
     spoken = speaker_tags(scheduled, key).where("e < n_chunks")
     token = row(1, F.col("i") * 2 + 1, "token", F.col("e"), F.col("tid"), F.col("tid"))
     tag = F.when(F.col("tag"), row(1, F.col("i") * 2, "tag", F.col("e"), F.lit(None), -1 - F.col("speaker")))

@@ -9,12 +9,15 @@ from colloquy.operators import interleave as ops
 from colloquy.plans.base import UTT, utterances, with_
 
 
+TOKENS = 1000  # token ids of one utterance; one with more words is an error, not another's id
+
+
 def tokens(spark: SparkSession, d: str) -> DataFrame:
     """conv_id, utt_id, speaker, tid, pos, end_ms, word."""
     u = utterances(spark, d, "text").where("text is not null").withColumn("w", F.filter(F.split("text", " "), lambda x: x != ""))
     x = u.select("conv_id", "utt_id", "speaker", "s", "e", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
     end = F.col("s") + F.floor((F.col("pos") + 1) * (F.col("e") - F.col("s")) / F.col("n"))
-    return x.select("conv_id", "utt_id", "speaker", (F.col("utt_id") * 1000 + F.col("pos")).alias("tid"), "pos", end.cast("bigint").alias("end_ms"), "word")
+    return x.select("conv_id", "utt_id", "speaker", (F.col("utt_id") * TOKENS + F.when(F.col("pos") < TOKENS, F.col("pos")).otherwise(F.raise_error(F.lit("too many words in an utterance")).cast("int"))).alias("tid"), "pos", end.cast("bigint").alias("end_ms"), "word")
 
 
 def streams(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
