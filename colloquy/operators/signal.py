@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -93,3 +93,46 @@ def log_mel(audio: DataFrame, key: str, samples: str, sr: int = 16_000, n_mels:
                 yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * n, b.column(0).type), pa.array(np.arange(n, dtype=np.int32)), lists], [key, "f", "mel"])
 
     return audio.select(key, samples).mapInArrow(run, f"{key} {audio.schema[key].dataType.simpleString()}, f int, mel array<float>")
+
+
+def _components(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    return vectors.select(*keys, "f", F.posexplode("vec").alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
+
+
+def _vectors(parts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    return parts.groupBy(*keys, "f").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col(value).alias("v")))), lambda x: x["v"]).alias("vec"))
+
+
+def running_mean(vectors: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Mean of each component over the last ``width`` frames, fewer at the beginning: a causal stand-in for an encoder."""
+    w = Window.partitionBy(*keys, "pos").orderBy("f").rowsBetween(1 - width, 0)
+    return _vectors(_components(vectors, keys).withColumn("v", F.avg("v").over(w)), keys, "v")
+
+
+def z_normalized(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """Frames scaled as a whole series: (x - mean) / (sample standard deviation + 1e-7) over all components. A front end that needs the whole series runs before anything cuts it."""
+    parts = _components(vectors, keys)
+    series = parts.groupBy(*keys).agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"))
+    return vectors.join(series, keys).select(*keys, "f", F.transform("vec", lambda x: (x.cast("double") - F.col("mean")) / (F.col("sd") + 1e-7)).alias("vec"))
+
+
+def stitched(vectors: DataFrame, keys: list[str], segment: int, context: int, encode: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """An encoder over segments of ``segment`` frames, each with ``context`` frames to its left that are dropped again.
+
+    A frame goes to its own segment and, as context, to later ones that it can still reach; so a series of any length is many small groups.
+    """
+    own = F.floor(F.col("f") / segment)
+    placed = vectors.withColumn("__g", F.explode(F.sequence(own, F.floor((F.col("f") + context) / segment))))
+    return encode(placed, [*keys, "__g"]).where(F.floor(F.col("f") / segment) == F.col("__g")).drop("__g")
+
+
+def attention_pairs(frames: DataFrame, keys: list[str], block: int, left: int) -> DataFrame:
+    """(keys, rule, q, k): frames that may look at each other; block: within a block; chunked-causal: also ``left`` blocks back; causal: the same, but never ahead.
+
+    Frames meet by block, so only pairs of near blocks are made.
+    """
+    b = F.floor(F.col("f") / block)
+    q = frames.select(*keys, F.col("f").alias("q"), b.alias("bq")).withColumn("b", F.explode(F.sequence(F.greatest(F.col("bq") - left, F.lit(0)), F.col("bq"))))
+    pairs = q.join(frames.select(*keys, F.col("f").alias("k"), b.alias("b")), [*keys, "b"])
+    rules = F.array(F.lit("chunked-causal"), F.when(F.col("b") == F.col("bq"), "block"), F.when(F.col("k") <= F.col("q"), "causal"))
+    return pairs.select(*keys, F.explode(F.array_compact(rules)).alias("rule"), "q", "k")

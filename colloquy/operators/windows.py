@@ -42,13 +42,21 @@ def slice_events(windows: DataFrame, events: DataFrame, window: int, hop: int) -
 def split_last(ids: DataFrame, key: str, fraction: float) -> DataFrame:
     """``split``: val for the last max(1, n * fraction) ids in string order, else train.
 
-    The cut is found with one distinct count and one limited sort, never by a window over all ids.
+    Ids are put into range partitions; with the number of rows of each, the driver knows the place of the cut, and every row its own place.
     """
+    from colloquy.tables import checkpointed
+
     names = ids.select(F.col(key).cast("string").alias(key)).distinct()
-    n = names.count()
-    val = names.orderBy(F.desc(key)).limit(max(1, int(n * fraction))) if n else names
-    cut = val.agg(F.min(key).alias("cut"))
-    return names.join(F.broadcast(cut), F.lit(True)).select(key, F.when(F.col(key) >= F.col("cut"), "val").otherwise("train").alias("split"))  # cut: one row
+    placed = checkpointed(names.repartitionByRange(key).withColumn("__p", F.spark_partition_id()))
+    counts = placed.groupBy("__p").count().orderBy("__p").collect()  # a row per partition
+    n, before, base = sum(r["count"] for r in counts), [], 0
+    for r in counts:
+        before.append((r["__p"], base))
+        base += r["count"]
+    offsets = F.broadcast(ids.sparkSession.createDataFrame(before, "__p int, __base bigint"))  # a row per partition
+    place = F.row_number().over(Window.partitionBy("__p").orderBy(key)) + F.col("__base")
+    cut = n - max(1, int(n * fraction))
+    return placed.join(offsets, "__p").select(key, F.when(place > cut, "val").otherwise("train").alias("split"))
 
 
 def cumulative_limit(rows: DataFrame, key: str, size: str, limit: int) -> DataFrame:

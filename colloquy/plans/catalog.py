@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from colloquy.plans import coverage, events, extras, frames, interleave, scoring, signal, sources, stats, text, training, windows
+from colloquy.plans import coverage, evaluation, events, extras, frames, interleave, scoring, signal, sources, stats, text, training, windows
 
-MODULES = (events, frames, stats, windows, interleave, text, scoring, signal, sources, extras, training)
+MODULES = (events, frames, stats, windows, interleave, text, scoring, signal, sources, extras, training, evaluation)
 QUERIES = {"p4_found": coverage.p4_found}
 SQL = {"p4_found": coverage.P4_SQL}
 for m in MODULES:

@@ -85,10 +85,16 @@ def probabilities(spark: SparkSession, d: str) -> DataFrame:
 
 def infer_stitch_owner(spark: SparkSession, d: str) -> DataFrame:
     """Frames that each overlapping inference window (20 s, step 5 s) contributes: conv_id, owner, n, p."""
-    owner = F.greatest(F.lit(0), F.floor((F.col("f") - 250) / 62) + 1).cast("bigint")
+    owner = F.greatest(F.lit(0), F.floor((F.col("f") - 250) / 62)).cast("bigint")
     return probabilities(spark, d).groupBy("conv_id", owner.alias("owner")).agg(F.count("*").alias("n"), F.sum("p").alias("p"))
 
 
+def lookahead_blocks(series: DataFrame, key: str, block: int) -> DataFrame:
+    """key, f, v: within each block of frames the least value, at its last frame the greatest."""
+    w = Window.partitionBy(key, F.floor(F.col("f") / block))
+    return series.select(key, "f", F.when(F.col("f") == F.max("f").over(w), F.max("p").over(w)).otherwise(F.min("p").over(w)).alias("v"))
+
+
 def lookahead_fold(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of 13 frames: every frame takes the block's minimum, the last its maximum; summed per conversation."""
     b = probabilities(spark, d).groupBy("conv_id", F.floor(F.col("f") / 13).alias("b")).agg(F.count("*").alias("n"), F.min("p").alias("lo"), F.max("p").alias("hi"))
@@ -120,6 +126,6 @@ FROM vec a JOIN vec b ON a.conv = b.conv AND b.f = a.f + 1 GROUP BY 1""",
 SELECT label, count(*) AS n, round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END), 6) AS top1, round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0.0 END), 6) AS top5, round(quantile_cont(r, 0.5), 3) AS median_rank FROM r GROUP BY 1""",
     "lookahead_frames": with_(VEC) + """, w AS (SELECT conv, f, sum(CAST(vec[1] AS DOUBLE)) OVER p AS full_, sum(CASE WHEN f < 40 THEN CAST(vec[1] AS DOUBLE) ELSE 0 END) OVER p AS cut FROM vec WINDOW p AS (PARTITION BY conv ORDER BY f ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))
 SELECT conv, 40 - min(CASE WHEN abs(full_ - cut) > 1e-9 THEN f END) AS lookahead FROM w WHERE f < 40 GROUP BY 1""",
-    "infer_stitch_owner": with_(CONV, SEG, LEN, PROB) + "SELECT conv_id, greatest(0, CAST(floor((f - 250) / 62) AS BIGINT) + 1) AS owner, count(*) AS n, CAST(sum(p) AS BIGINT) AS p FROM pb GROUP BY 1, 2",
+    "infer_stitch_owner": with_(CONV, SEG, LEN, PROB) + "SELECT conv_id, greatest(0, CAST(floor((f - 250) / 62) AS BIGINT)) AS owner, count(*) AS n, CAST(sum(p) AS BIGINT) AS p FROM pb GROUP BY 1, 2",
     "lookahead_fold": with_(CONV, SEG, LEN, PROB) + "SELECT conv_id, CAST(sum((n - 1) * lo + hi) AS BIGINT) AS total, count(*) AS blocks FROM (SELECT conv_id, f // 13 AS b, count(*) AS n, min(p) AS lo, max(p) AS hi FROM pb GROUP BY 1, 2) GROUP BY 1",
 }

@@ -30,10 +30,12 @@ def usable_utterances(utterance: DataFrame, *extra: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; a local one only where none is set."""
+    """The folder that all executors share, as the session names it; a local one only where none is set and the master is local."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="colloquy-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -44,10 +46,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def blank_to_null(c: Column) -> Column:
-    return F.when(F.trim(c) != "", c)
-
-
 def checkpoint_folder(spark: SparkSession, name: str) -> str:
     """A new folder of its own under the folder that all executors share."""
     return f"{shared_folder(spark)}/{name}-{uuid4()}"

@@ -3,7 +3,7 @@ import random
 import wave
 
 import numpy as np
-
+import pytest
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import normalize_text, word_edits
@@ -51,7 +51,7 @@ def test_readers(spark, tmp_path):
     with wave.open(str(tmp_path / "a.wav"), "wb") as w:
         w.setnchannels(1), w.setsampwidth(2), w.setframerate(16000)
         w.writeframes((np.sin(np.arange(16000) / 5) * 20000).astype("<i2").tobytes())
-    audio = readers.read_wav(spark, str(tmp_path))
+    audio = readers.read_wav(spark, str(tmp_path)).withColumn("samples", F.element_at("samples", 1))
     mel = log_mel(audio, "path", "samples").collect()
     assert len(mel) == 50 and len(mel[0].mel) == 80
     fm = readers.front_matter(spark.createDataFrame([("---\ntitle: a: b\nowner: me\n---\nbody",)], "t string"), "t")
@@ -60,6 +60,88 @@ def test_readers(spark, tmp_path):
     assert sorted(x.k for x in readers.latest_snapshot(snap, "snap", "k").collect()) == ["a", "b"]
 
 
+def tone(path, channels, rate=48_000, seconds=3.0, bits=2):
+    """A file with a tone in the given stretches (channel, from, to) and faint noise elsewhere."""
+    n = int(rate * seconds)
+    x = np.random.default_rng(1).normal(0, 1e-4, (n, len(channels)))
+    for c, spans in enumerate(channels):
+        for a, b in spans:
+            i, j = int(a * rate), int(b * rate)
+            x[i:j, c] += 0.5 * np.sin(np.arange(j - i) * 2 * np.pi * 220 / rate)
+    with wave.open(str(path), "wb") as w:
+        w.setnchannels(len(channels)), w.setsampwidth(2), w.setframerate(rate)
+        w.writeframes((np.clip(x, -1, 1) * 32767).astype("<i2").tobytes())
+
+
+def test_stereo_corpus(spark, tmp_path):
+    for k in (2, 10):
+        tone(tmp_path / f"c{k}.wav", [[(1.0, 2.0)], [(0.2, 0.7)]])
+    said = [{"SpeakerNo": "S1", "StartTime": "0.2", "EndTime": "0.7", "Text": "a", "SpeakerEmotionCategory": "Calm"}, {"SpeakerNo": "S2", "StartTime": "1.0", "EndTime": "2.0", "Text": "b"}]
+    (tmp_path / "c2.json").write_text(json.dumps({"File": {"FileName": "c2.wav"}, "ConversationInfo": {"Domain": "food"}, "Conversation": said}))
+    (tmp_path / "broken.wav").write_bytes(b"RIFF....")
+    got = readers.read_corpus(spark, "stereo", str(tmp_path))
+    c = {x.conv_id: x for x in got.conversations.collect()}
+    assert sorted(c) == ["c10", "c2"] and c["c2"].duration == 3.0 and c["c2"].meta["speaker_channel_swapped"] == "true" and c["c10"].meta["speaker_channel_swapped"] == "false"
+    assert sorted((x.speaker, x.text) for x in got.utterances.collect()) == [(0, "b"), (1, "a")]  # the first speaker's words lie on the second channel
+    seg = sorted((x.conv_id, x.speaker, x.i, x.j) for x in got.segments.collect())
+    assert [(a, b) for a, b, _, _ in seg] == [("c10", 0), ("c10", 1), ("c2", 0), ("c2", 1)] and all(abs(i - w) <= 1 for (_, s, i, _), w in zip(seg, (50, 10, 50, 10), strict=True))
+    assert [x.conv_id for x in readers.read_corpus(spark, "stereo", str(tmp_path), limit=1).conversations.collect()] == ["c2"]  # numbers by value
+    assert readers.read_corpus(spark, "stereo", str(tmp_path), only=["c10"]).utterances.count() == 0
+    with pytest.raises(ValueError, match="no corpus"):
+        readers.read_corpus(spark, "other", str(tmp_path))
+    audio = readers.read_wav(spark, str(tmp_path), 16_000)
+    assert [x.path.rsplit("/", 1)[1] for x in readers.bad_files(audio).collect()] == ["broken.wav"]
+    x = audio.where("stem = 'c2'").select("sr", "samples", readers.audio_window(F.col("samples"), F.col("sr"), F.lit(2.5), 16_000).alias("w")).first()
+    assert x.sr == 16_000 and [len(y) for y in x.samples] == [48_000, 48_000] and [len(y) for y in x.w] == [16_000, 16_000] and set(x.w[0][8_000:]) == {0.0}
+    assert max(x.samples[0][20_000:30_000]) == pytest.approx(0.5, abs=0.02)
+    copies = sinks.write_wav_copy(audio, str(tmp_path / "copies"))
+    assert copies.count() == 2 and readers.decoded(copies.first().content)[1].shape == (2, 48_000)
+
+
+def test_directory_corpus(spark, tmp_path):
+    for name, meta in (("7", {"task_id": "77", "noise": "car"}), ("8", {"noise": "none"})):
+        d = tmp_path / name
+        d.mkdir()
+        (d / "metadata.json").write_text(json.dumps(meta))
+        (d / "speaker_1_annotation_a.srt").write_text("1\n00:00:01,000 --> 00:00:02,000\n[Normal Turn] one\n\n2\n00:00:01,500 --> 00:00:02,500\n[Laughter] two\n")
+        (d / "speaker_2_annotation_a.srt").write_text("1\n00:00:03,000 --> 00:00:04,000\n[Channel Bleed] x\n")
+    tone(tmp_path / "8" / "speaker_1_audio.wav", [[]], 16_000, 5.0)
+    got = readers.read_corpus(spark, "otoSpeech", str(tmp_path))
+    assert sorted((x.conv_id, x.duration, x.meta["noise"]) for x in got.conversations.collect()) == [("oto-77", 4.0, "car"), ("oto-8", 5.0, "none")]
+    assert got.utterances.count() == 6
+    assert sorted((x.conv_id, x.speaker, x.i, x.j) for x in got.segments.collect()) == [("oto-77", 0, 50, 125), ("oto-8", 0, 50, 125)]
+
+
+def test_summaries_and_documents(spark, tmp_path):
+    path = str(tmp_path / "stats")
+    sinks.write_json_summary(spark.createDataFrame([("a", 1), ("b", 2)], "k string, v bigint"), path)
+    sinks.merge_json_summary(spark.createDataFrame([("b", 3), ("c", 4)], "k string, v bigint"), path, "k")
+    assert sorted((x.k, x.v) for x in spark.read.json(path).collect()) == [("a", 1), ("b", 3), ("c", 4)]
+    events = spark.createDataFrame([("c", 0, "eot", 2.5), ("c", 0, "eot", 1.0), ("c", 1, "int", 3.0)], "conv_id string, speaker int, task string, at double")
+    doc = json.loads(sinks.predictions_document(events).first().value)
+    assert doc == {"conversation_id": "c", "speaker_1": {"eot": [1.0, 2.5], "interruption": []}, "speaker_2": {"eot": [], "interruption": [3.0]}}
+    pages = [("---\ntitle: t1\nowner: me\nstatus: open\n---",), ("---\ntitle: t2\nowner: me\nstatus: doing\npriority: p1\n---",), ("---\ntitle: t3\nstatus: done\n---",)]
+    board = readers.dashboard(readers.front_matter(spark.createDataFrame(pages, "t string"), "t"))
+    assert [tuple(x) for x in board.collect()] == [("me", "p1", "9999", "t2"), ("me", "p9", "9999", "t1")]
+
+
+def test_decoder_and_late_tokens(spark):
+    from colloquy.streaming.clock import ChunkDecoder, decode_chunks, drain, emit_tokens, staged
+
+    d = ChunkDecoder(2, 0.5, blocked=frozenset({9}))
+    offered = [(5, 3.0), (-2, 2.9), (9, 10.0), (6, 2.0), (7, 1.9), (8, 0.4)]
+    got = d.chunk(lambda taken: ([p for p in offered if p[0] not in taken], 1.0))
+    assert (got, d.speaker, d.forced) == ([(5, 0), (6, 1)], 1, 1)
+    assert d.chunk(lambda taken: ([(8, 0.4)], 1.0)) == [] and d.chunk(lambda taken: ([(8, 0.6)] if not taken else [], 1.0)) == [(8, 1)]
+    rows = [("c", 1, 0, 100, "2025-01-01 00:00:00.1"), ("c", 2, 1, 120, "2025-01-01 00:00:00.12"), ("c", 3, 0, 5000, "2025-01-01 00:00:05"), ("d", 4, 1, 40, "2025-01-01 00:00:00.04")]
+    tokens = spark.createDataFrame(rows, "conv_id string, tid bigint, speaker int, end_ms bigint, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = {x.tid: (x.e, x.tag, x.flushed) for x in drain(emit_tokens(staged(tokens, "ts", "2025-02-01 00:00:00", 2), 1)).collect()}
+    assert {k: v[:2] for k, v in out.items()} == {1: (3, True), 2: (4, True), 3: (64, True), 4: (2, True)} and out[3][2] and out[4][2]
+    chunks = spark.createDataFrame([("c", 1, 0.0, [(5, 1.0)], 1), ("c", 2, 0.0, [(-2, 1.0), (6, 0.5)], 2), ("c", 3, 0.0, [(7, 1.0)], 3)], "conv_id string, chunk bigint, stop double, candidates array<struct<token bigint, score double>>, ts bigint")
+    chunks = chunks.withColumn("ts", F.timestamp_seconds("ts"))
+    assert sorted((x.chunk, x.token, x.speaker) for x in drain(decode_chunks(staged(chunks, "ts", "2025-02-01 00:00:00", 3))).collect()) == [(1, 5, 0), (2, 6, 1), (3, 7, 1)]
+
+
 def test_benchmark_parquet(spark, tmp_path):
     df = spark.sql("select 'c' conversation_id, array(named_struct('start_s', 1d, 'end_s', 2d, 'text', 't', 'label', 'l')) speaker_1_annotation_a, array(named_struct('start_s', 3d, 'end_s', 4d, 'text', 'u', 'label', 'm')) speaker_2_annotation_a")
     df.write.parquet(str(tmp_path / "b"))
