@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from colloquy.operators import encoders
 from colloquy.operators import evaluation as ops
 from colloquy.operators import interleave as il
 from colloquy.operators import signal as sig
@@ -200,6 +201,18 @@ def stitch_differences(spark: SparkSession, d: str) -> DataFrame:
     return x.select("conv", "n", "n_off", "first_off", F.round("largest", 4).alias("largest"))
 
 
+def encoder_registry(spark: SparkSession, d: str) -> DataFrame:
+    return encoders.described(spark)
+
+
+def encoded_differences(spark: SparkSession, d: str) -> DataFrame:
+    """An encoder over whole series against the same over segments with enough left context, front end first: frames that differ, which are none."""
+    v = ps.vectors(spark, d)
+    whole = encoders.encoder("mean3").run(sig.z_normalized(v, ["conv"]), ["conv"])
+    x = ops.series_differences(whole, encoders.encoder("normal-mean3").encode(v, ["conv"]), ["conv"])
+    return x.select("conv", "n", "n_off")
+
+
 def block_attention(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of frames that may attend to each other in blocks of 13, by rule."""
     f = ps.vectors(spark, d).select("conv", "f")
@@ -351,7 +364,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         label_cross_entropy, next_speaker_share, commit_events, crossing_sweep, event_confusion, negative_spans, event_validation, rater_agreement, boundary_sample, streaming_metrics, revisions, history_gap, language_cube,
-        temperature_sample, rank_report, loss_report, distillation_loss, effective_lookahead, stitch_differences, block_attention, threshold_vad, z_normalized, build_report, verification_report, alignment_summary, run_history,
+        temperature_sample, rank_report, loss_report, distillation_loss, effective_lookahead, stitch_differences, encoder_registry, encoded_differences, block_attention, threshold_vad, z_normalized, build_report, verification_report, alignment_summary, run_history,
         throughput, latency_budget, limits_report, observable_at, infer_stitched, speaker_pairs, languages, fastest_utterances, token_weighted_rates, latency_shares, swap_consistency,
     )
 }
@@ -407,6 +420,8 @@ sd AS (SELECT conv, pos, stddev_pop(whole) AS sd FROM pc GROUP BY 1, 2), o AS (S
 SELECT conv, count(*) AS n, count(*) FILTER (off > 1e-3) AS n_off, min(f) FILTER (off > 1e-3) AS first_off, round(max(off), 4) AS largest FROM o GROUP BY 1""",
     "block_attention": with_(ps.VEC) + """, pr AS (SELECT a.conv, a.f AS q, b.f AS k FROM vec a JOIN vec b ON b.conv = a.conv)
 SELECT conv, rule, count(*) AS n, CAST(sum(q * k) AS BIGINT) AS check_sum FROM (SELECT *, unnest(list_filter(['block', 'chunked-causal', 'causal'], lambda r: CASE r WHEN 'block' THEN q // 13 = k // 13 WHEN 'causal' THEN k <= q AND q // 13 - k // 13 <= 2 ELSE k // 13 <= q // 13 AND q // 13 - k // 13 <= 2 END)) AS rule FROM pr) GROUP BY 1, 2""",
+    "encoded_differences": with_(ps.VEC) + "SELECT conv, count(*) AS n, CAST(0 AS BIGINT) AS n_off FROM vec GROUP BY 1",
+    "encoder_registry": "SELECT * FROM (VALUES ('plain', 50.0::DOUBLE, 0, true, 0, 0, false), ('mean3', 50.0, 0, true, 0, 0, false), ('mean3-cut', 50.0, 0, true, 10, 2, false), ('normal-mean3', 50.0, 0, true, 10, 2, true)) t(name, frame_hz, lookahead_ms, causal, segment, context, has_frontend)",
     "threshold_vad": with_(ps.VEC, ps.DB) + "SELECT conv, count(*) AS n, count(*) FILTER (db - 50 * ((f // 12) % 2) > -40) AS n_on FROM db GROUP BY 1",
     "z_normalized": with_(ps.VEC, NP) + "SELECT conv, f, round(sum(z * z), 3) AS squares FROM (SELECT conv, f, (v - avg(v) OVER w) / (stddev_samp(v) OVER w + 1e-7) AS z FROM np WINDOW w AS (PARTITION BY conv)) GROUP BY 1, 2",
     "build_report": EVSQL + f""", sp AS (SELECT conv_id, sum(j - i) AS n FROM seg GROUP BY 1), r AS (SELECT {CORPUS.format('len.conv_id')} AS corpus, t, coalesce(n, 0) / (2 * t) AS r FROM len LEFT JOIN sp ON sp.conv_id = len.conv_id WHERE t > 0),

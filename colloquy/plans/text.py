@@ -32,17 +32,17 @@ def normalize_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    """An utterance and a line first delivered for the same conversation and start, however that is written, both with a text: utt_id, raw_id, speaker, s, e, ref, hyp, start_time."""
+    """An utterance and a line first delivered for the same conversation and start, however that is written, both with a text: conv_id, utt_id, raw_id, speaker, s, e, ref, hyp, start_time."""
     raw = table(spark, d, "raw_utterance").select("raw_id", "conv_id", F.col("text").alias("hyp"), "start_time").distinct().withColumn("s", clock_ms(F.col("start_time")))
     u = utterances(spark, d, "text").select("utt_id", "conv_id", "speaker", "s", "e", F.col("text").alias("ref"))
-    return u.join(raw, ["conv_id", "s"]).where("ref is not null and hyp is not null").select("utt_id", "raw_id", "speaker", "s", "e", "ref", "hyp", "start_time")
+    return u.join(raw, ["conv_id", "s"]).where("ref is not null and hyp is not null").select("conv_id", "utt_id", "raw_id", "speaker", "s", "e", "ref", "hyp", "start_time")
 
 
 def ref_hyp(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs whose utterance holds a word, in their normal form, words apart in every language: utt_id, raw_id, speaker, s, e, ko, ref, hyp. The tables name no language; a pair is Korean (ko) if its utterance has Hangul in it."""
+    """All pairs whose utterance holds a word, in their normal form, words apart in every language: conv_id, utt_id, raw_id, speaker, s, e, ko, ref, hyp. The tables name no language; a pair is Korean (ko) if its utterance has Hangul in it."""
     x = pairs(spark, d).withColumn("ko", F.col("ref").rlike(HANGUL))
     norm = lambda c: normalize_text(F.col(c), F.lit(None).cast("string")).alias(c)
-    return x.select("utt_id", "raw_id", "speaker", "s", "e", "ko", norm("ref"), norm("hyp")).where("ref <> ''")
+    return x.select("conv_id", "utt_id", "raw_id", "speaker", "s", "e", "ko", norm("ref"), norm("hyp")).where("ref <> ''")
 
 
 def _by_speaker(x: DataFrame) -> DataFrame:
@@ -68,6 +68,32 @@ def wer(spark: SparkSession, d: str) -> DataFrame:
     return x.select("utt_id", "raw_id", word_edits(F.col("r"), F.col("h")).alias("edits"), F.size("r").alias("n_words"))
 
 
+def _joined(x: DataFrame, *by: str) -> DataFrame:
+    """References and hypotheses of each group, one after the other in order of time, and the characters between them."""
+    text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "utt_id", "raw_id", F.col(c).alias("t")))), lambda r: r["t"]), " ").alias(c)
+    return x.groupBy(*by).agg(text("ref"), text("hyp")).withColumns({"k": F.levenshtein("ref", "hyp"), "n": F.length("ref")})
+
+
+def pooled_error(spark: SparkSession, d: str) -> DataFrame:
+    """Character errors of each minute of a conversation with both speakers' lines in one order of time, and kept apart; what the two differ by is due to who spoke."""
+    x = ref_hyp(spark, d).withColumn("minute", F.floor(F.col("s") / 60_000))
+    rate = lambda y, name: y.groupBy("ko").agg(F.sum("n").alias("chars"), F.round(F.sum("k") / F.sum("n"), 6).alias(name))
+    apart, pooled = rate(_joined(x, "ko", "conv_id", "minute", "speaker"), "err"), rate(_joined(x, "ko", "conv_id", "minute"), "err_pooled").drop("chars")
+    return apart.join(pooled, "ko")
+
+
+def baseline_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Errors by corpus of lines as delivered and of lines without what stands in brackets: character errors for Korean, word errors else."""
+    bare = F.regexp_replace("hyp", r"\[[^\]]*\]|\([^)]*\)|\{[^}]*\}|<[^>]*>", " ")
+    norm = lambda c: normalize_text(c, F.lit(None).cast("string"))
+    both = pairs(spark, d).withColumn("h", F.explode(F.array(F.struct(F.lit("as delivered").alias("system"), F.col("hyp").alias("t")), F.struct(F.lit("without brackets").alias("system"), bare.alias("t")))))
+    x = both.select(F.regexp_extract("conv_id", "^([a-z]+)", 1).alias("corpus"), "h.system", F.col("ref").rlike(HANGUL).alias("ko"), norm(F.col("ref")).alias("ref"), norm(F.col("h.t")).alias("hyp")).where("ref <> ''")
+    plain = lambda c: F.replace(F.col(c), F.lit(" "))
+    r, h = words(F.col("ref")), words(F.col("hyp"))
+    k, n = F.when(F.col("ko"), F.levenshtein(plain("ref"), plain("hyp"))).otherwise(word_edits(r, h)), F.when(F.col("ko"), F.length(plain("ref"))).otherwise(F.size(r))
+    return x.select("corpus", "system", "ko", k.alias("k"), n.alias("n")).groupBy("corpus", "system", "ko").agg(F.count("*").alias("pairs"), F.sum("k").alias("edits"), F.sum("n").alias("units"), F.round(F.sum("k") / F.sum("n"), 6).alias("error"))
+
+
 def emission_latency(spark: SparkSession, d: str) -> DataFrame:
     """Delay of emitted tokens behind their end: quantiles in ms, shares before the end and forced past their own chunk."""
     t, n = streams(spark, d)
@@ -98,7 +124,7 @@ PAIRS = r"""rw AS (SELECT raw_id, conv_id, text AS hyp, ((CAST(start_time[1:2] A
   FROM (SELECT DISTINCT raw_id, conv_id, text, start_time FROM raw_utterance WHERE regexp_full_match(start_time, '[0-9]{2}:[0-9]{2}:[0-9]{2}[.,][0-9]{3}'))),
 pr AS (SELECT * FROM (SELECT utt_id, raw_id, speaker, """ + NORM.format("utt.text") + " AS ref, " + NORM.format("rw.hyp") + r""" AS hyp FROM utt JOIN rw ON rw.conv_id = utt.conv_id AND rw.s = utt.s
   WHERE regexp_full_match(utt.text, '[\x00-\x7F]*') AND regexp_full_match(rw.hyp, '[\x00-\x7F]*')) WHERE ref <> '')"""
-QUERIES = {"normalize_text": normalize_texts, "normalize_all": normalize_all, "cer": cer, "cer_all": cer_all, "wer": wer, "emission_latency": emission_latency, "token_latency": token_latency}
+QUERIES = {"normalize_text": normalize_texts, "normalize_all": normalize_all, "cer": cer, "cer_all": cer_all, "wer": wer, "pooled_error": pooled_error, "baseline_errors": baseline_errors, "emission_latency": emission_latency, "token_latency": token_latency}
 SQL = {
     "normalize_text": "SELECT doc_id, " + NORM.format("text") + r" AS norm FROM documents WHERE regexp_full_match(text, '[\x00-\x7F\n]*', 's')",
     "cer": with_(UTT, PAIRS) + "SELECT speaker, count(*) AS pairs, CAST(sum(levenshtein(ref, hyp)) AS BIGINT) AS edits, CAST(sum(length(ref)) AS BIGINT) AS chars, round(sum(levenshtein(ref, hyp)) / sum(length(ref)), 6) AS cer FROM pr GROUP BY 1",

@@ -271,6 +271,25 @@ def benchmark_corpus(spark: SparkSession, root: str, annotator: str = "a") -> Co
     return _finish("turnbench-dev", "label", t.select(key.alias("conv_id"), meta.alias("meta")), said, speech_segments(said))
 
 
+def benchmark_audio(spark: SparkSession, root: str, ids: list[str]) -> DataFrame:
+    """The encoded channels of a few conversations: conv_id, speaker, content. Only ids and audio columns are read, and of those only row groups that may hold one of the ids."""
+    t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(root).where(F.col("conversation_id").cast("string").isin(*(i.removeprefix("tb-") for i in ids)))
+    parts = [t.select(F.concat(F.lit("tb-"), F.col("conversation_id").cast("string")).alias("conv_id"), F.lit(s).alias("speaker"), F.col(f"speaker_{s + 1}_audio.bytes").alias("content")) for s in (0, 1)]
+    return parts[0].unionByName(parts[1]).dropDuplicates(["conv_id", "speaker"])
+
+
+def read_audio(spark: SparkSession, source: str, root: str, target: int = 16_000) -> DataFrame:
+    """Recordings of a source as conv_id, sr, samples (a list per speaker); an unknown source is an error. Channels of unlike length are cut to the shorter."""
+    if source == "stereo":
+        return read_wav(spark, root, target).where("error is null").select(F.col("stem").alias("conv_id"), "sr", "samples")
+    if source == "otoSpeech":
+        x = read_wav(spark, root, target).where("error is null").select(F.concat(F.lit("oto-"), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)).alias("conv_id"), F.regexp_extract("stem", r"speaker_(\d+)", 1).alias("k"), "sr", F.element_at("samples", 1).alias("x"))
+        both = x.groupBy("conv_id").agg(F.max("sr").alias("sr"), F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda c: c["x"]).alias("samples"))
+        n = F.array_min(F.transform("samples", lambda c: F.size(c)))
+        return both.withColumn("n", n).select("conv_id", "sr", F.transform("samples", lambda c: F.slice(c, F.lit(1), F.col("n"))).alias("samples"))
+    raise ValueError(f"no source {source!r}")
+
+
 CORPORA = {"stereo": stereo_corpus, "otoSpeech": directory_corpus, "turnbench-dev": benchmark_corpus}
 
 

@@ -106,6 +106,11 @@ def test_directory_corpus(spark, tmp_path):
         (d / "speaker_1_annotation_a.srt").write_text("1\n00:00:01,000 --> 00:00:02,000\n[Normal Turn] one\n\n2\n00:00:01,500 --> 00:00:02,500\n[Laughter] two\n")
         (d / "speaker_2_annotation_a.srt").write_text("1\n00:00:03,000 --> 00:00:04,000\n[Channel Bleed] x\n")
     tone(tmp_path / "8" / "speaker_1_audio.wav", [[]], 16_000, 5.0)
+    tone(tmp_path / "8" / "speaker_2_audio.wav", [[]], 8_000, 4.0)
+    x = readers.read_audio(spark, "otoSpeech", str(tmp_path)).first()
+    assert (x.conv_id, x.sr, [len(c) for c in x.samples]) == ("oto-8", 16_000, [64_000, 64_000])
+    with pytest.raises(ValueError, match="no source"):
+        readers.read_audio(spark, "other", str(tmp_path))
     got = readers.read_corpus(spark, "otoSpeech", str(tmp_path))
     assert sorted((x.conv_id, x.duration, x.meta["noise"]) for x in got.conversations.collect()) == [("oto-77", 4.0, "car"), ("oto-8", 5.0, "none")]
     assert got.utterances.count() == 6
@@ -148,6 +153,12 @@ def test_benchmark_parquet(spark, tmp_path):
     assert sorted(tuple(x) for x in readers.read_benchmark(spark, str(tmp_path / "b")).collect()) == [("c", 0, 1.0, 2.0, "t", "l"), ("c", 1, 3.0, 4.0, "u", "m")]
 
 
+def test_benchmark_audio_of_some(spark, tmp_path):
+    df = spark.sql("select id conversation_id, named_struct('bytes', cast('a' as binary)) speaker_1_audio, named_struct('bytes', cast(null as binary)) speaker_2_audio from values ('c'), ('d') t(id)")
+    df.write.parquet(str(tmp_path / "s" / "data"))
+    assert sorted((x.conv_id, x.speaker, x.content) for x in readers.benchmark_audio(spark, str(tmp_path), ["tb-d"]).collect()) == [("tb-d", 0, b"a"), ("tb-d", 1, None)]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "m"), (2, "n")], "id int, man string")
     path = str(tmp_path / "f")
@@ -183,6 +194,8 @@ def test_pairs_of_any_writing(spark, tmp_path, rows):
     spark.createDataFrame(lines + lines[:1], "raw_id bigint, conv_id string, text string, start_time string").write.parquet(str(tmp_path / "raw_utterance.parquet"))
     d = str(tmp_path)
     assert rows(text.wer(spark, d)) == [(1, 11, 0, 2), (2, 12, 2, 2), (3, 13, 1, 2), (4, 14, 0, 2)]
+    assert rows(text.pooled_error(spark, d)) == [(False, 25, 0.04, 0.04), (True, 6, 0.166667, 0.166667)]  # the space between two lines counts
+    assert rows(text.baseline_errors(spark, d)) == [("c", s, ko, n, k, m, round(k / m, 6)) for s in ("as delivered", "without brackets") for ko, n, k, m in ((False, 3, 1, 6), (True, 1, 0, 5))]
     assert rows(text.cer_all(spark, d)) == [(0, 3, 1, 24, 0.041667), (1, 1, 0, 5, 0.0)]
     assert {(x.utt_id, x.raw_id, x.pos) for x in text.token_latency(spark, d).collect()} == {(1, 11, 0), (1, 11, 1), (3, 13, 0), (4, 14, 0), (4, 14, 1)}
 
