@@ -54,46 +54,50 @@ def windowed_segments(windows: DataFrame, seg: DataFrame, window: int, hop: int)
     return windows.join(lists, ["conv_id", "win"], "left").withColumn("segs", F.coalesce("segs", F.array().cast("array<struct<speaker:int,a:int,b:int>>")))
 
 
-def _activity(segs: list[dict], n: int) -> np.ndarray:
-    on = np.zeros((n, 2), np.int8)
-    for x in segs:
-        on[x["a"] : x["b"], x["speaker"]] = 1
-    return on
+def _activity(segs: pa.Array, n: int) -> np.ndarray:
+    """Activity (row x frame x speaker) of a column of segment lists."""
+    rows = np.repeat(np.arange(len(segs)), np.asarray(segs.value_lengths().fill_null(0)))
+    speaker, a, b = (np.asarray(segs.flatten().field(k)).astype(np.int64) for k in range(3))
+    edges = np.zeros((len(segs), n + 1, 2), np.int16)
+    np.add.at(edges, (rows, a, speaker), 1)
+    np.add.at(edges, (rows, b, speaker), -1)
+    return (np.cumsum(edges[:, :-1], axis=1, dtype=np.int16) > 0).astype(np.int8)
+
+
+def _sums(on: np.ndarray) -> np.ndarray:
+    """Running totals along the frames, with a nought in front."""
+    return np.concatenate([np.zeros((len(on), 1, 2), np.int32), np.cumsum(on, axis=1, dtype=np.int32)], axis=1)
 
 
 def _labels(on: np.ndarray, hz: float) -> np.ndarray:
     """Class of future activity of each frame that has its horizon in the window, IGNORED for the rest."""
     bins = future_bins(hz)
-    out = np.full(len(on), IGNORED, np.int32)
-    n = len(on) - sum(bins)
+    out = np.full(on.shape[:2], IGNORED, np.int32)
+    n = on.shape[1] - sum(bins)
     if n <= 0:
         return out
-    total = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(on, axis=0, dtype=np.int64)])
-    out[:n] = 0
+    total = _sums(on)
+    out[:, :n] = 0
     at = 1
     for k, width in enumerate(bins):
-        hit = 2 * (total[at + width : at + width + n] - total[at : at + n]) >= width
-        out[:n] |= hit[:, 0].astype(np.int32) << k | hit[:, 1].astype(np.int32) << (4 + k)
+        hit = 2 * (total[:, at + width : at + width + n] - total[:, at : at + n]) >= width
+        out[:, :n] |= hit[:, :, 0].astype(np.int32) << k | hit[:, :, 1].astype(np.int32) << (4 + k)
         at += width
     return out
 
 
 def _onset_bins(on: np.ndarray, hz: float) -> tuple[np.ndarray, np.ndarray]:
     """Bin of the time to the next onset within the window, per frame and speaker, and whether there is none within the horizon. Speech at the first frame is an onset there."""
-    n, gap, horizon = len(on), int(0.2 * hz), round(2.56 * hz)
-    bins, censored = np.full((n, 2), len(onset_edges(hz)), np.int8), np.ones((n, 2), bool)
-    for s in (0, 1):
-        v = np.concatenate([[0], on[:, s]])
-        rise = np.flatnonzero((v[1:] == 1) & (v[:-1] == 0))
-        total = np.concatenate([[0], np.cumsum(on[:, s], dtype=np.int64)])
-        rise = rise[total[rise] == total[np.maximum(rise - gap, 0)]]
-        after = np.searchsorted(rise, np.arange(n), "right")
-        has = after < len(rise)
-        tau = rise[after[has]] - np.flatnonzero(has)
-        near = tau <= horizon
-        at = np.flatnonzero(has)[near]
-        bins[at, s] = np.digitize(tau[near], onset_edges(hz))
-        censored[at, s] = False
+    n, gap, horizon, never = on.shape[1], int(0.2 * hz), round(2.56 * hz), np.iinfo(np.int32).max // 2
+    before = np.concatenate([np.zeros_like(on[:, :1]), on[:, :-1]], axis=1)
+    total, frames = _sums(on), np.arange(n)
+    quiet = total[:, frames] == total[:, np.maximum(frames - gap, 0)]
+    at = np.where((on == 1) & (before == 0) & quiet, frames[None, :, None], never).astype(np.int32)
+    ahead = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1]
+    tau = np.concatenate([ahead[:, 1:], np.full_like(ahead[:, :1], never)], axis=1) - frames[None, :, None]
+    censored = tau > horizon
+    bins = np.digitize(tau, onset_edges(hz)).astype(np.int8)
+    bins[censored] = len(onset_edges(hz))
     return bins, censored
 
 
@@ -120,17 +124,34 @@ def materialized(windows: DataFrame, keys: list[str], window: int, hz: float, sr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             frames = window // factor
-            vad, label, bins, censored = np.zeros((b.num_rows, frames, 2), np.int8), np.zeros((b.num_rows, frames), np.int32), np.zeros((b.num_rows, frames, 2), np.int8), np.zeros((b.num_rows, frames, 2), bool)
-            for i, segs in enumerate(b.column(len(keys)).to_pylist()):
-                vad[i] = _activity(segs, window)[: frames * factor].reshape(-1, factor, 2).max(1)
-                label[i] = _labels(vad[i], hz)
-                bins[i], censored[i] = _onset_bins(vad[i], hz)
-            columns = [_nested(x) for x in (vad, label, bins, censored)]
+            vad = _activity(b.column(len(keys)), window)[:, : frames * factor].reshape(b.num_rows, frames, factor, 2).max(2)
+            columns = [_nested(x) for x in (vad, _labels(vad, hz), *_onset_bins(vad, hz))]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keys))), *columns], [*keys, "vad", "label", "tau_bin", "censored"])
 
     return kept.mapInArrow(run, f"{head}, {EXAMPLE}")
 
 
+def example_totals(examples: DataFrame, keys: list[str]) -> DataFrame:
+    """What examples hold: keys, n_a and n_b active frames, n_labels, label_sum (labels times their place, from 1), bin_sum, n_censored."""
+    head = ", ".join(f"{k} {examples.schema[k].dataType.simpleString()}" for k in keys)
+    names = ("n_a", "n_b", "n_labels", "label_sum", "bin_sum", "n_censored")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            label = b.column(len(keys) + 1)
+            frames = np.asarray(label.value_lengths()).astype(np.int64)
+            row = np.repeat(np.arange(b.num_rows), frames)
+            flat = lambda k: np.asarray(b.column(len(keys) + k).flatten().flatten()).astype(np.int64).reshape(-1, 2)
+            total = lambda v: np.bincount(row, weights=v, minlength=b.num_rows).astype(np.int64)
+            y = np.asarray(label.flatten()).astype(np.int64)
+            place = np.arange(len(y)) - np.repeat(np.cumsum(frames) - frames, frames) + 1
+            vad, ok = flat(0), y >= 0
+            out = (total(vad[:, 0]), total(vad[:, 1]), total(ok), total(np.where(ok, y * place, 0)), total(flat(2).sum(1)), total(flat(3).sum(1)))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keys))), *map(pa.array, out)], [*keys, *names])
+
+    return examples.select(*keys, "vad", "label", "tau_bin", "censored").mapInArrow(run, head + ", " + ", ".join(f"{n} bigint" for n in names))
+
+
 def resampled_activity(on: np.ndarray, hz: float, n_out: int, src_hz: float = 50) -> np.ndarray:
     """Activity at another rate: an output frame is active if any source frame it covers is (the one at its start if it covers none); beyond the source it is silent."""
     edges = np.clip(np.round(np.arange(n_out + 1) / hz * src_hz).astype(int), 0, len(on))
@@ -153,10 +174,10 @@ def probe_examples(windows: DataFrame, keys: list[str], window: int, hz: float)
         for b in batches:
             lengths = np.asarray(b.column(len(keys) + 1).value_lengths().fill_null(0))
             vads, labels = [], []
-            for segs, n in zip(b.column(len(keys)).to_pylist(), lengths, strict=True):
-                on = resampled_activity(_activity(segs, window), hz, int(n))
+            for on, n in zip(_activity(b.column(len(keys)), window), lengths, strict=True):
+                on = resampled_activity(on, hz, int(n))
                 vads.append(on.tolist())
-                labels.append(_labels(on, hz).tolist())
+                labels.append(_labels(on[None], hz)[0].tolist())
             columns = [pa.array(vads, pa.list_(pa.list_(pa.int8()))), pa.array(labels, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keys))), b.column(len(keys) + 1), *columns], [*keys, "feats", "vad", "label"])
 

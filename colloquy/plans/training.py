@@ -49,14 +49,7 @@ def training_windows(spark: SparkSession, d: str) -> DataFrame:
 def window_batch(spark: SparkSession, d: str) -> DataFrame:
     """Those windows as examples at 12.5 Hz: frames active of each speaker, frames with a label, label and onset-bin sums, censored frames."""
     seg, length = _unflagged(spark, d)
-    x = ops.materialized(ops.windowed_segments(win.sliding_windows(length, WINDOW, HOP), seg, WINDOW, HOP), ["conv_id", "win"], WINDOW, 12.5)
-    total = lambda c, f: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, v: a + f(v).cast("bigint"))
-    labels = F.filter("label", lambda v: v >= 0)
-    weighted = F.aggregate(F.sequence(F.lit(1), F.size(labels)), F.lit(0).cast("bigint"), lambda a, k: a + F.element_at(labels, k).cast("bigint") * k)
-    return x.select(
-        "conv_id", "win", total(F.col("vad"), lambda v: v[0]).alias("n_a"), total(F.col("vad"), lambda v: v[1]).alias("n_b"), F.size(labels).alias("n_labels"), weighted.alias("label_sum"),
-        total(F.col("tau_bin"), lambda v: v[0].cast("int") + v[1].cast("int")).alias("bin_sum"), total(F.col("censored"), lambda v: v[0].cast("int") + v[1].cast("int")).alias("n_censored"),
-    )
+    return ops.example_totals(ops.materialized(ops.windowed_segments(win.sliding_windows(length, WINDOW, HOP), seg, WINDOW, HOP), ["conv_id", "win"], WINDOW, 12.5), ["conv_id", "win"])
 
 
 def _cached(spark: SparkSession, d: str, part: str = "true") -> DataFrame:
@@ -288,13 +281,13 @@ SQL = {
     "training_windows": ev.HEAD(ev.EVENTS_CTE, FLAGS, TW) + "SELECT * FROM tw",
     "window_batch": ev.HEAD(ev.EVENTS_CTE, FLAGS, TW, FR) + """, sp AS (SELECT conv_id, win, start, unnest(generate_series(0, 249)) AS f FROM tw),
 ch AS (SELECT DISTINCT conv_id, speaker, f // 4 AS chunk FROM act),
-wx AS (SELECT sp.*, coalesce((SELECT 1 FROM ch WHERE ch.conv_id = sp.conv_id AND ch.chunk = sp.start // 4 + sp.f AND ch.speaker = 0), 0) AS a, coalesce((SELECT 1 FROM ch WHERE ch.conv_id = sp.conv_id AND ch.chunk = sp.start // 4 + sp.f AND ch.speaker = 1), 0) AS b FROM sp),
+wx AS (SELECT sp.*, CASE WHEN ca.chunk IS NULL THEN 0 ELSE 1 END AS a, CASE WHEN cb.chunk IS NULL THEN 0 ELSE 1 END AS b FROM sp LEFT JOIN ch ca ON ca.conv_id = sp.conv_id AND ca.chunk = sp.start // 4 + sp.f AND ca.speaker = 0 LEFT JOIN ch cb ON cb.conv_id = sp.conv_id AND cb.chunk = sp.start // 4 + sp.f AND cb.speaker = 1),
 wy AS (""" + _label_sql("wx", "conv_id, win", 250, (2, 5, 8, 10)) + """),
 wv AS (SELECT conv_id, win, f, 0 AS speaker, a AS v FROM wx UNION ALL SELECT conv_id, win, f, 1, b FROM wx),
 wo AS (SELECT *, CASE WHEN v = 1 AND coalesce(sum(v) OVER (PARTITION BY conv_id, win, speaker ORDER BY f ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), 0) = 0 THEN f END AS onset FROM wv),
 wq AS (SELECT *, min(onset) OVER (PARTITION BY conv_id, win, speaker ORDER BY f ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - f AS tau FROM wo),
 bn AS (SELECT conv_id, win, CAST(sum(CASE WHEN tau IS NULL OR tau > 32 THEN 5 ELSE (tau >= 2)::INT + (tau >= 4)::INT + (tau >= 8)::INT + (tau >= 16)::INT + (tau >= 32)::INT END) AS BIGINT) AS bin_sum, count(*) FILTER (tau IS NULL OR tau > 32) AS n_censored FROM wq GROUP BY 1, 2)
-SELECT wy.conv_id, wy.win, CAST(sum(a) AS BIGINT) AS n_a, CAST(sum(b) AS BIGINT) AS n_b, CAST(count(*) FILTER (f < 225) AS INT) AS n_labels, CAST(sum(label * (f + 1)) FILTER (f < 225) AS BIGINT) AS label_sum, any_value(bin_sum) AS bin_sum, any_value(n_censored) AS n_censored
+SELECT wy.conv_id, wy.win, CAST(sum(a) AS BIGINT) AS n_a, CAST(sum(b) AS BIGINT) AS n_b, count(*) FILTER (f < 225) AS n_labels, CAST(sum(label * (f + 1)) FILTER (f < 225) AS BIGINT) AS label_sum, any_value(bin_sum) AS bin_sum, any_value(n_censored) AS n_censored
 FROM wy JOIN bn ON bn.conv_id = wy.conv_id AND bn.win = wy.win GROUP BY 1, 2""",
     "feature_index": with_(CONV, CACHED) + f"SELECT DISTINCT conv_id, frames, (SELECT len(vec) FROM vec LIMIT 1)::INT AS dim, {HZ} AS hz FROM conv JOIN ix ON ix.number = {NUM.format('conv_id')}",
     "feature_windows": ev.HEAD(ev.EVENTS_CTE, FLAGS, CACHED, PW) + f"SELECT * FROM pw ORDER BY (({NUM.format('conv_id')} * 131 + win) * 7919) % 100003, conv_id, win LIMIT 400",
