@@ -60,4 +60,51 @@ t AS (SELECT *, weight_pct * sum(own) OVER () AS want FROM o)
 SELECT source, CAST(CASE WHEN max_repeat * own * 100 < want THEN max_repeat WHEN want = 0 THEN 0 ELSE (want + 100 * own - 1) // (100 * own) END AS INT) AS passes, CAST(max_repeat * own * 100 < want AS INT) AS is_short FROM t"""
 
 
-SQL = {"p1_found": p1(WIDE.replace("'", "''"), PLAIN.replace("'", "''")), "p2_found": P2, "p3_found": P3, "p7_found": p7(WIDE.replace("'", "''"), PLAIN.replace("'", "''"))}
+def p6(wide: str, plain: str) -> str:
+    """Links as in the operator, and from every conversation whatever it reaches."""
+
+    def folded(c: str) -> str:
+        return rf"regexp_replace(lower(translate({c}, '{wide}', '{plain}')), '[^\p{{L}}\p{{N}}]', '', 'g')"
+
+    def key(c: str) -> str:
+        return rf"CASE WHEN regexp_full_match({folded(c)}, '[a-z]+[0-9]+') THEN regexp_extract({folded(c)}, '^([a-z]+)', 1) || ':' || regexp_extract({folded(c)}, '0*([0-9]+)$', 1) END"
+
+    def person(c: str) -> str:
+        digits = f"regexp_extract({folded(c)}, '^p0*([0-9]+)$', 1)"
+        return f"CASE WHEN regexp_full_match({folded(c)}, 'p[0-9]+') THEN 'P' || lpad({digits}, CAST(greatest(7, length({digits})) AS INT), '0') END"
+
+    of_conversation = lambda kind, what: f"SELECT node AS u, '{kind}|' || ({what}) AS v FROM cv JOIN nm ON nm.name = cv.id"
+    links = [of_conversation("p", person("a")), of_conversation("p", person("b")), of_conversation("r", key("r")), of_conversation("c", key("d")), "SELECT node, node FROM cv JOIN nm ON nm.name = cv.id"]
+    links.append(f"SELECT node, 'p|' || ({person('speaker_id')}) FROM vo JOIN nm ON nm.name = vo.conv_id")
+    return f"""WITH RECURSIVE cv AS (SELECT DISTINCT id, meta['spk1'] AS a, meta['spk2'] AS b, meta['recording'] AS r, meta['derived_from'] AS d FROM conversation WHERE id IS NOT NULL),
+vo AS (SELECT DISTINCT conv_id, speaker_id FROM utterance WHERE conv_id IS NOT NULL AND speaker_id IS NOT NULL),
+nm AS (SELECT name, 'c|' || coalesce({key('name')}, '=' || name) AS node FROM (SELECT id AS name FROM cv UNION SELECT conv_id FROM vo)),
+ln AS (SELECT DISTINCT * FROM ({" UNION ALL ".join(links)}) WHERE v IS NOT NULL),
+ed AS (SELECT u, v FROM ln UNION SELECT v, u FROM ln),
+rc AS (SELECT DISTINCT node AS s, node AS t FROM cv JOIN nm ON nm.name = cv.id UNION SELECT rc.s, ed.v FROM rc JOIN ed ON ed.u = rc.t),
+al AS (SELECT rc.s, coalesce(CASE WHEN t LIKE 'p|%' THEN substr(t, 3) END, cv.id) AS name FROM rc LEFT JOIN nm ON nm.node = rc.t LEFT JOIN cv ON cv.id = nm.name),
+gr AS (SELECT cv.id AS conv_id, min(al.name) AS group_id FROM cv JOIN nm ON nm.name = cv.id JOIN al ON al.s = nm.node WHERE al.name IS NOT NULL GROUP BY 1)
+SELECT conv_id, group_id FROM gr"""
+
+
+# groups go largest first, each to the split furthest below its target; of equal groups, by name, the first ones to the split named first
+SPLITS = """,
+sz AS (SELECT group_id, count(*) AS size FROM gr GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY size DESC, group_id) AS k, row_number() OVER (PARTITION BY size ORDER BY group_id) AS r FROM sz),
+tg AS (SELECT split, share_pct, row_number() OVER (ORDER BY share_pct DESC, split) AS j FROM (SELECT DISTINCT split, share_pct FROM split_target)),
+st AS (SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS size, 0 AS pick, (SELECT max(share_pct) FILTER (j = 1) FROM tg) * n AS a, (SELECT max(share_pct) FILTER (j = 2) FROM tg) * n AS b, (SELECT max(share_pct) FILTER (j = 3) FROM tg) * n AS c FROM (SELECT count(*) AS n FROM gr)
+  UNION ALL SELECT k, size, pick, a - CASE WHEN pick = 1 THEN 100 * size ELSE 0 END, b - CASE WHEN pick = 2 THEN 100 * size ELSE 0 END, c - CASE WHEN pick = 3 THEN 100 * size ELSE 0 END
+  FROM (SELECT o.k, o.size, a, b, c, CASE WHEN a >= b AND a >= c THEN 1 WHEN b >= c THEN 2 ELSE 3 END AS pick FROM st JOIN o ON o.k = st.k + 1)),
+nn AS (SELECT size, pick, count(*) AS n FROM st WHERE k > 0 GROUP BY 1, 2),
+rg AS (SELECT size, pick, sum(n) OVER (PARTITION BY size ORDER BY pick) - n AS lo, sum(n) OVER (PARTITION BY size ORDER BY pick) AS hi FROM nn)
+SELECT gr.conv_id, gr.group_id, tg.split FROM gr JOIN o ON o.group_id = gr.group_id JOIN rg ON rg.size = o.size AND o.r > lo AND o.r <= hi JOIN tg ON tg.j = rg.pick"""
+
+WINDOWS = """WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 240),
+p AS (SELECT doc_id, i, md5(substr(text, i, 240)) AS h FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 239)) AS i FROM d)),
+s AS (SELECT h FROM p GROUP BY 1 HAVING count(DISTINCT doc_id) > 1), k AS (SELECT p.* FROM p JOIN s ON s.h = p.h)
+"""
+P10 = WINDOWS + "SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM (SELECT DISTINCT doc_id, h FROM k) a JOIN (SELECT DISTINCT doc_id, h FROM k) b ON a.h = b.h AND a.doc_id < b.doc_id"
+P10_SHARED = WINDOWS + """, c AS (SELECT doc_id, sum(least(240, i - coalesce(before, i - 240))) AS n FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM k) GROUP BY 1)
+SELECT d.doc_id, CAST(length(text) AS INT) AS n_chars, CAST(coalesce(c.n, 0) AS BIGINT) AS n_shared FROM d LEFT JOIN c ON c.doc_id = d.doc_id"""
+P6 = p6(WIDE.replace("'", "''"), PLAIN.replace("'", "''"))
+SQL = {"p1_found": p1(WIDE.replace("'", "''"), PLAIN.replace("'", "''")), "p2_found": P2, "p3_found": P3, "p7_found": p7(WIDE.replace("'", "''"), PLAIN.replace("'", "''")), "p6_found": P6, "p6_splits": P6.rsplit("\nSELECT", 1)[0] + SPLITS, "p10_found": P10, "p10_shared": P10_SHARED}
