@@ -14,13 +14,14 @@ from colloquy.operators.events import turn_events
 from colloquy.operators.frames import future_label_counts
 from colloquy.operators.scoring import match_events
 from colloquy.plans import events as ev
+from colloquy.plans import extras
 from colloquy.plans import frames as fr
 from colloquy.plans import interleave as pi
 from colloquy.plans import signal as ps
 from colloquy.plans import windows as pw
 from colloquy.plans.base import CONV, LEN, SEG, UTT, conversations, lengths, timeline, utterances, with_
 from colloquy.plans.training import NUM, number
-from colloquy.schema import CHUNK_MS
+from colloquy.schema import CHUNK_MS, ONSET_EDGES_S
 from colloquy.tables import checkpointed, table
 
 THETAS = [500, 700, 900, 950]
@@ -92,6 +93,25 @@ def event_validation(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("kind", "got").agg(F.count("*").alias("n"), F.round(F.avg(F.abs("off")), 6).alias("mean_off"), F.max(F.abs("off")).alias("most_off"))
 
 
+def event_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Precision, recall and F1 per kind of events from what was said against measured ones: a hit is a nearest event of the same kind within half a second."""
+    said = checkpointed(fr.said_frames(spark, d))
+    gold, theirs = checkpointed(ev.events(spark, d)), checkpointed(turn_events(said, lengths(spark, d, said)))
+    x = ops.nearest_kind(gold, theirs, ["conv_id", "speaker"], 25)
+    hits = x.groupBy("kind").agg(F.count("*").alias("gold"), F.count(F.when(F.col("got") == F.col("kind"), 1)).alias("hits"))
+    y = hits.join(theirs.groupBy("kind").agg(F.count("*").alias("predicted")), "kind")
+    rate = lambda a, b: F.round(a / b, 6)
+    return y.select("kind", "gold", "predicted", "hits", rate(F.col("hits"), F.col("predicted")).alias("precision"), rate(F.col("hits"), F.col("gold")).alias("recall"), rate(2 * F.col("hits"), F.col("gold") + F.col("predicted")).alias("f1"))
+
+
+def onset_before(spark: SparkSession, d: str) -> DataFrame:
+    """Probability that a speaker begins within each of the horizons, by the life table: bin, seconds, p."""
+    from colloquy.plans.extras import hazard_curve
+
+    edges = F.array(*map(F.lit, (*ONSET_EDGES_S, ONSET_EDGES_S[-1])))
+    return hazard_curve(spark, d).select("bin", F.element_at(edges, F.col("bin") + 1).alias("seconds"), F.round(1 - F.col("survival"), 6).alias("p"))
+
+
 def rater_agreement(spark: SparkSession, d: str) -> DataFrame:
     """Fleiss' kappa of three simple raters of what is a back-channel: the label, the length, the number of words."""
     u = utterances(spark, d, "text", "label").where("text is not null")
@@ -363,11 +383,12 @@ DOUBLES = "list_transform({0}, lambda z: CAST(z AS DOUBLE))"
 QUERIES = {
     f.__name__: f
     for f in (
-        label_cross_entropy, next_speaker_share, commit_events, crossing_sweep, event_confusion, negative_spans, event_validation, rater_agreement, boundary_sample, streaming_metrics, revisions, history_gap, language_cube,
+        label_cross_entropy, next_speaker_share, commit_events, crossing_sweep, event_confusion, negative_spans, event_validation, event_scores, onset_before, rater_agreement, boundary_sample, streaming_metrics, revisions, history_gap, language_cube,
         temperature_sample, rank_report, loss_report, distillation_loss, effective_lookahead, stitch_differences, encoder_registry, encoded_differences, block_attention, threshold_vad, z_normalized, build_report, verification_report, alignment_summary, run_history,
         throughput, latency_budget, limits_report, observable_at, infer_stitched, speaker_pairs, languages, fastest_utterances, token_weighted_rates, latency_shares, swap_consistency,
     )
 }
+HAZARD = extras.SQL["hazard_curve"]
 BITS = lambda s, ks: " + ".join(f"((label >> {4 * s + k}) & 1) * {FRAME_BINS[k]}" for k in ks)
 SHARE = lambda ks: f"round(sum(n * ({BITS(0, ks)})) / nullif(sum(n * ({BITS(0, ks)})) + sum(n * ({BITS(1, ks)})), 0), 6)"
 CROSS = f"""cr AS (SELECT conv_id, f, t AS theta FROM (SELECT *, coalesce(lag(p) OVER (PARTITION BY conv_id ORDER BY f), -1) AS b FROM pb), (VALUES {", ".join(f"({t})" for t in THETAS)}) th(t) WHERE p >= t AND b < t)"""
@@ -393,6 +414,11 @@ SELECT conv_id, speaker, count(*) AS n, count(*) FILTER (hit) AS n_hit FROM h GR
     "event_validation": ev.HEAD(ev.EVENTS_CTE, UTT, SAIDSEG, SAIDEV) + """, nk AS (SELECT g.conv_id, g.speaker, g.f, g.kind, p.kind AS got, p.f - g.f AS off, row_number() OVER (PARTITION BY g.conv_id, g.speaker, g.f, g.kind ORDER BY abs(p.f - g.f), p.f, p.kind) AS k
   FROM ev g LEFT JOIN sev p ON p.conv_id = g.conv_id AND p.speaker = g.speaker AND abs(p.f - g.f) <= 25)
 SELECT kind, got, count(*) AS n, round(avg(abs(off)), 6) AS mean_off, max(abs(off)) AS most_off FROM nk WHERE k = 1 GROUP BY 1, 2""",
+    "event_scores": ev.HEAD(ev.EVENTS_CTE, UTT, SAIDSEG, SAIDEV) + """, nk AS (SELECT g.kind, p.kind AS got, row_number() OVER (PARTITION BY g.conv_id, g.speaker, g.f, g.kind ORDER BY abs(p.f - g.f), p.f, p.kind) AS k
+  FROM ev g LEFT JOIN sev p ON p.conv_id = g.conv_id AND p.speaker = g.speaker AND abs(p.f - g.f) <= 25),
+hh AS (SELECT kind, count(*) AS gold, count(*) FILTER (got = kind) AS hits FROM nk WHERE k = 1 GROUP BY 1), pp AS (SELECT kind, count(*) AS predicted FROM sev GROUP BY 1)
+SELECT hh.kind, gold, predicted, hits, round(hits / predicted, 6) AS precision, round(hits / gold, 6) AS recall, round(2 * hits / (gold + predicted), 6) AS f1 FROM hh JOIN pp ON pp.kind = hh.kind""",
+    "onset_before": f"SELECT bin, CAST([{', '.join(map(str, (*ONSET_EDGES_S, ONSET_EDGES_S[-1])))}][bin + 1] AS DOUBLE) AS seconds, round(1 - survival, 6) AS p FROM ({HAZARD})",
     "rater_agreement": with_(UTT) + """, r AS (SELECT utt_id, unnest([coalesce(label LIKE '%Backchannel', false), e - s < 1000, len(list_filter(string_split(text, ' '), lambda w: w <> '')) <= 2]) AS vote FROM utt WHERE text IS NOT NULL),
 c AS (SELECT utt_id, count(*) FILTER (vote) AS a, count(*) FILTER (NOT vote) AS b FROM r GROUP BY 1), z AS (SELECT count(*) AS items, avg((a * (a - 1) + b * (b - 1)) / 6) AS p, sum(a) / (3 * count(*)) AS qa, sum(b) / (3 * count(*)) AS qb FROM c)
 SELECT items, CAST(3 AS BIGINT) AS raters, round((p - (qa * qa + qb * qb)) / nullif(1 - (qa * qa + qb * qb), 0), 6) AS kappa FROM z""",

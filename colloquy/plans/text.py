@@ -98,8 +98,10 @@ def emission_latency(spark: SparkSession, d: str) -> DataFrame:
     """Delay of emitted tokens behind their end: quantiles in ms, shares before the end and forced past their own chunk."""
     t, n = streams(spark, d)
     x = schedule(t, n, 4, 2).where("e < n_chunks").select(((F.col("e") + 1) * CHUNK_MS - F.col("end_ms")).alias("v"), (F.col("e") > F.col("b")).alias("late"))
-    q = [F.round(F.percentile("v", F.lit(p)), 6).alias(f"p{int(100 * p)}") for p in (0.5, 0.9, 0.99)]
-    return x.agg(F.count("*").alias("n"), *q, F.round(F.avg(F.when(F.col("v") < 0, 1.0).otherwise(0.0)), 6).alias("before_end"), F.round(F.avg(F.when(F.col("late"), 1.0).otherwise(0.0)), 6).alias("forced"))
+    x = x.groupBy("v", "late").agg(F.count("*").alias("k"))  # a row per value, so that the quantiles see few
+    q = [F.round(F.percentile("v", F.lit(p), F.col("k")), 6).alias(f"p{int(100 * p)}") for p in (0.5, 0.9, 0.99)]
+    share = lambda c: F.round(F.sum(F.when(c, F.col("k")).otherwise(0)) / F.sum("k"), 6)
+    return x.agg(F.sum("k").alias("n"), *q, share(F.col("v") < 0).alias("before_end"), share(F.col("late")).alias("forced"))
 
 
 def _latencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
