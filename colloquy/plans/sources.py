@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.plans.base import CONV, UTT, conversations, utterances, with_
+from colloquy.plans.events import EVENTS_CTE, HEAD, events
 from colloquy.plans.interleave import TOK, sched, tokens
 from colloquy.schema import SPEECH_LABELS
 from colloquy.sources import readers
@@ -122,7 +123,6 @@ def benchmark_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 def event_table_recomputed(spark: SparkSession, d: str) -> DataFrame:
     """Turn events written by corpus, one corpus written again in place, read back: corpus, kind, n."""
-    from colloquy.plans.events import events
     from colloquy.sources.sinks import write_partitioned
 
     folder = checkpoint_folder(spark, "events")
@@ -157,6 +157,7 @@ h AS (SELECT conv, f, coalesce(last_value(CASE WHEN db > -20 THEN 1 WHEN db <= -
 SELECT CAST(conv AS VARCHAR) AS conv_id, count(*) AS n, count(*) FILTER (o = 1) AS n_on, CAST(sum(f) FILTER (o = 1) AS BIGINT) AS f_sum FROM h GROUP BY 1""",
     "benchmark_round_trip": with_(UTT) + f""", fr AS (SELECT DISTINCT conv_id, speaker, unnest(generate_series(CAST(round_even(s / 20, 0) AS BIGINT), CAST(round_even(e / 20, 0) AS BIGINT) - 1)) AS f FROM utt WHERE label IN ({", ".join(f"'{x}'" for x in SPEECH_LABELS)}) AND round_even(e / 20, 0) > round_even(s / 20, 0))
 SELECT 'tb-' || utt.conv_id AS conv_id, round(max(e) / 1000, 3) AS duration, count(*) AS n, coalesce((SELECT count(*) FROM fr WHERE fr.conv_id = utt.conv_id), 0) AS n_active FROM utt GROUP BY utt.conv_id""",
+    "event_table_recomputed": HEAD(EVENTS_CTE) + "SELECT regexp_extract(conv_id, '^([a-z]+)', 1) AS corpus, kind, count(*) AS n FROM ev GROUP BY 1, 2",
     "stream_session_turns": with_(RAW) + """, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= 5000 THEN 0 ELSE 1 END AS cut FROM raw WINDOW w AS (PARTITION BY conv_id ORDER BY ts, utt_id)),
 k AS (SELECT *, sum(cut) OVER (PARTITION BY conv_id ORDER BY ts, utt_id ROWS UNBOUNDED PRECEDING) AS run FROM g)
 SELECT conv_id, min(ts) AS start_ms, max(ts) + 5000 AS end_ms, count(*) AS n FROM k GROUP BY conv_id, run""",

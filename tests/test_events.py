@@ -185,3 +185,30 @@ def test_schedule_is_the_queue(spark):
         assert all(got[c, x[2]] >= chunks for x in backlog)
         if queue:
             assert stats[c].max_backlog == most and stats[c].tokens == len(out)
+
+
+def test_future_labels_over_stretches(spark, monkeypatch):
+    from colloquy.operators import frames as ops
+
+    monkeypatch.setattr(ops, "SHARD", 40)
+    r = random.Random(9)
+    active, lengths, want = [], [], {}
+    for c in range(6):
+        n = [30, 25, 26, 200, 333, 120][c]
+        on = [[int(r.random() < 0.4) for _ in range(n)] for _ in range(2)]
+        on = [[0] * n, [0] * n] if c == 5 else on
+        lengths.append((f"c{c}", n))
+        active += [(f"c{c}", s, f) for s in range(2) for f in range(n) if on[s][f]]
+        for f in range(n - 25):
+            at, label = f + 1, 0
+            for k, w in enumerate((2, 5, 8, 10)):
+                for s in range(2):
+                    label |= (2 * sum(on[s][at : at + w]) >= w) << (4 * s + k)
+                at += w
+            want[f"c{c}", f] = label
+    a = spark.createDataFrame(active, "conv_id string, speaker int, chunk bigint")
+    length = spark.createDataFrame(lengths, "conv_id string, n bigint")
+    assert {(x.conv_id, x.f): x.label for x in ops.future_labels(a, length, 12.5).collect()} == want
+    seg = a.select("conv_id", "speaker", (a["chunk"] * 4).alias("i"), (a["chunk"] * 4 + 1).alias("j"))
+    counted = {(x.conv_id, x.label): x.n for x in ops.future_label_counts(seg, length, 12.5, 4).collect()}
+    assert counted == {k: sum(1 for (c, _), v in want.items() if (c, v) == k) for k in {(c, v) for (c, _), v in want.items()}}

@@ -48,6 +48,8 @@ def test_readers(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"speaker":0,"start":1.0,"end":2.0,"text":"a","tokens":[{"id":5,"text":"a","end_time":1.5}]}\n\n{"speaker":\n\x00\n')
     lines = spark.read.text(str(tmp_path / "a.jsonl"))
     assert readers.parse_jsonl(lines, "value", readers.ALIGNMENT).count() == 1
+    aligned = readers.read_alignments(spark, str(tmp_path / "a.jsonl")).first()
+    assert (aligned.conv_id, aligned.text, aligned.tokens[0].end_time) == ("a", "a", 1.5)
     with wave.open(str(tmp_path / "a.wav"), "wb") as w:
         w.setnchannels(1), w.setsampwidth(2), w.setframerate(16000)
         w.writeframes((np.sin(np.arange(16000) / 5) * 20000).astype("<i2").tobytes())
