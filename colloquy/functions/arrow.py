@@ -30,10 +30,9 @@ def run_starts(*keys: np.ndarray) -> np.ndarray:
 
 
 def concat_batches(batches: Sequence[pa.RecordBatch]) -> pa.RecordBatch:
-    """The rows of several batches of one schema as one batch."""
-    t = pa.Table.from_batches(batches).combine_chunks()
-    got = t.to_batches()
-    return got[0] if got else pa.RecordBatch.from_pylist([], schema=t.schema)
+    """The rows of several batches with columns of the same types as one batch. Whether a field may be null is left aside: batches made here say yes where Spark's may say no."""
+    names = batches[0].schema.names
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(i) for b in batches]) for i in range(len(names))], names)
 
 
 def list_array(values: pa.Array, lengths: np.ndarray) -> pa.ListArray:

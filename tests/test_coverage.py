@@ -56,3 +56,18 @@ def test_random(spark_of, seed):
 def test_hot_entity(spark):
     data = [("hot", 0, 7 * i, 7 * i + (9 if i % 5 else 3)) for i in range(30_000)] + [("cold", 1, 1, 2)]
     assert run(spark, data) == brute(data)
+
+
+def test_keys_that_are_never_null_over_several_batches(spark):
+    from pyspark.sql import functions as F
+
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, 3)
+    try:
+        x = spark.range(40).select(F.concat(F.lit("c"), F.col("id") % 7).alias("k"), F.lit(1).alias("who"), (F.col("id") * 5_000).alias("s"), (F.col("id") * 5_000 + 9_000).alias("e"))
+        assert not x.schema["who"].nullable
+        data = [(r.k, r.who, r.s, r.e) for r in x.collect()]
+        assert sorted(tuple(r) for r in periods_and_gaps(x, ["k", "who"], "s", "e").collect()) == brute(data)
+    finally:
+        spark.conf.set(size, before)
