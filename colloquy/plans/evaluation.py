@@ -318,13 +318,11 @@ def observable_at(spark: SparkSession, d: str) -> DataFrame:
 
 def infer_stitched(spark: SparkSession, d: str) -> DataFrame:
     """Overlapping inference windows (20 s and a step of 5 s) whose model sums what it has seen of its window: the stitched series, summed."""
-    w = Window.partitionBy("conv_id").orderBy("f")
-    x = ps.probabilities(spark, d).withColumn("seen", F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    owner = F.greatest(F.lit(0), F.floor((F.col("f") - 250) / 62))
-    x = x.withColumn("start", owner * 62)
-    before = x.select("conv_id", (F.col("f") + 1).alias("start"), F.col("seen").alias("before"))
-    y = x.join(before, ["conv_id", "start"], "left")
-    return y.groupBy("conv_id").agg(F.count("*").alias("n"), F.max("start").alias("last_start"), F.sum(F.col("seen") - F.coalesce("before", F.lit(0))).alias("total"))
+    x = ps.probabilities(spark, d)
+    start = F.greatest(F.lit(0), F.floor((F.col("f") - 250) / 62)) * 62
+    # a value is in the sum of every frame from its own on whose window begins at or before it: the last of them is 311 frames behind the step that it lies in, or the conversation's last
+    times = F.least(F.col("n"), F.floor(F.col("f") / 62) * 62 + 312) - F.col("f")
+    return x.groupBy("conv_id").agg(F.count("*").alias("n"), F.max(start).alias("last_start"), F.sum(F.col("p") * times).alias("total"))
 
 
 def speaker_pairs(spark: SparkSession, d: str) -> DataFrame:

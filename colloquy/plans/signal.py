@@ -77,7 +77,7 @@ def lookahead_frames(spark: SparkSession, d: str) -> DataFrame:
 
 
 def probabilities(spark: SparkSession, d: str) -> DataFrame:
-    """A series of whole numbers below 1,000 for every 80 ms of every conversation: conv_id, f, p."""
+    """A series of whole numbers below 1,000 for every 80 ms of every conversation: conv_id, n (how many), f, p."""
     n = lengths(spark, d).where("t >= 4").select("conv_id", F.floor(F.col("t") / 4).cast("bigint").alias("n"))
     x = n.select("conv_id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("f"))
     return x.withColumn("p", (F.col("f") * 7919 + F.length("conv_id") * 104_729 + F.col("n") * 31) % 1000)
