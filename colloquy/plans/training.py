@@ -14,7 +14,7 @@ from colloquy.operators import windows as win
 from colloquy.operators.events import quality_flags, turn_events
 from colloquy.plans import events as ev
 from colloquy.plans import interleave as pi
-from colloquy.plans.base import CONV, LEN, SEG, UTT, conversations, timeline, utterances, with_
+from colloquy.plans.base import CONV, LEN, SEG, UTT, conversations, lengths, timeline, utterances, with_
 from colloquy.plans.frames import FR, POOL
 from colloquy.plans.signal import VEC, vectors
 from colloquy.plans.windows import HOP, WIN, WINDOW
@@ -172,9 +172,12 @@ def aligned_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def tokens_in_windows(spark: SparkSession, d: str) -> DataFrame:
     """Tokens that end within each window of 20 s, and the sum of their times in it."""
-    w = win.sliding_windows(timeline(spark, d)[1], WINDOW, HOP)
     t = ops.in_windows(pi.tokens(spark, d), F.col("end_ms"), F.col("end_ms") + 1, WINDOW * 20, HOP * 20)
-    return w.join(t, ["conv_id", "win"]).groupBy("conv_id", "win").agg(F.count("*").alias("n"), F.sum(F.col("end_ms") - F.col("start") * 20).alias("ms"))
+    held = t.groupBy("conv_id", "win").agg(F.count("*").alias("n"), F.sum("end_ms").alias("ms"))  # a row a window before any join
+    whole = lengths(spark, d).where(F.col("t") >= WINDOW).select("conv_id", F.floor((F.col("t") - WINDOW) / HOP).alias("last"))
+    start_ms = F.col("win").cast("bigint") * (HOP * 20)
+    fit = held.hint("merge").join(whole, "conv_id").where("win <= last")
+    return fit.groupBy("conv_id", "win").agg(F.sum("n").alias("n"), F.sum(F.col("ms") - F.col("n") * start_ms).alias("ms"))
 
 
 def interleaved_starts(spark: SparkSession, d: str) -> DataFrame:

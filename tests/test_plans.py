@@ -24,7 +24,7 @@ def exploded(plan):
     return name == "Generate" or (name != "Aggregate" and any(exploded(below.apply(i)) for i in range(below.size())))
 
 
-@pytest.mark.parametrize("name", ["infer_stitched"])
+@pytest.mark.parametrize("name", ["infer_stitched", "tokens_in_windows"])
 def test_no_exploded_rows_are_joined(spark, name):
     plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan()
     joins = [x for x in nodes(plan) if x.nodeName() == "Join"]
