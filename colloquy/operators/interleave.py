@@ -65,20 +65,26 @@ def model_sequence(scheduled: DataFrame, length: DataFrame, key: str = "conv_id"
     """One row per item of the sequence: key, pos, kind (audio, tag, token, next), chunk, tid, label.
 
     A chunk is an audio slot (or ``slots`` of them, one per speaker), its emissions and the sign for the next chunk. The label of an audio slot is
-    -100; of a token its tid, of a tag -1 - speaker, of the sign -10.
+    -100; of a token its tid, of a tag -1 - speaker, of the sign -10. Tokens leave in order, so that an item's place follows from the number of
+    items before its chunk: only tokens are exchanged and sorted, and the slots of the stretch behind each are made where they are.
     """
-    n = F.ceil(F.col("ms") / chunk_ms).cast("int")
-    spine = length.select(key, F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
-    row = lambda order, sub, kind, chunk, tid, label: F.struct(chunk.cast("bigint").alias("chunk"), F.lit(order).alias("o"), sub.cast("bigint").alias("i"), F.lit(kind).alias("kind"), tid.cast("bigint").alias("tid"), label.cast("bigint").alias("label"))
-    none, zero = F.lit(None), F.lit(0)
-    audio = [row(0, F.lit(k), "audio", F.col("chunk"), none, F.lit(-100)) for k in range(slots)]
-    frame = spine.select(key, F.explode(F.array(*audio, row(2, zero, "next", F.col("chunk"), none, F.lit(-10)))).alias("x"))
-    spoken = speaker_tags(scheduled, key).where("e < n_chunks")
-    token = row(1, F.col("i") * 2 + 1, "token", F.col("e"), F.col("tid"), F.col("tid"))
-    tag = F.when(F.col("tag"), row(1, F.col("i") * 2, "tag", F.col("e"), F.lit(None), -1 - F.col("speaker")))
-    items = frame.union(spoken.select(key, F.explode(F.array_compact(F.array(tag, token))).alias("x"))).select(key, "x.*")
-    pos = F.row_number().over(Window.partitionBy(key).orderBy("chunk", "o", "i")) - 1
-    return items.select(key, pos.alias("pos"), "kind", "chunk", "tid", "label")
+    n = F.ceil(F.col("ms") / chunk_ms).cast("bigint")
+    # rows of emitted tokens: ``k`` items up to this one, and of the last of a chunk the next chunk that emits
+    w = Window.partitionBy(key).orderBy("i")
+    size = F.when(F.col("tag"), 2).otherwise(1)
+    mark = length.select(key, n.alias("n_chunks")).where("n_chunks > 0").select(key, F.lit(-1).cast("bigint").alias("i"), F.lit(-1).cast("bigint").alias("e"), "n_chunks", F.lit(None).cast("bigint").alias("tid"), F.lit(None).cast("bigint").alias("speaker"), F.lit(0).alias("size"))
+    spoken = speaker_tags(scheduled, key).where("e < n_chunks").select(key, "i", "e", "n_chunks", F.col("tid").cast("bigint").alias("tid"), F.col("speaker").cast("bigint").alias("speaker"), size.alias("size"))
+    x = mark.unionByName(spoken).withColumns({"k": F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)), "following": F.coalesce(F.lead("e").over(w), F.col("n_chunks"))})
+    # a chunk c >= 0 begins at c * (slots + 1) and the items before it; behind row (e, k) the signs of chunks e to following - 1 and the audio of chunks e + 1 to following come after k items
+    row = lambda when, kind, pos, tid, label: F.when(when, F.struct(pos.cast("int").alias("pos"), F.lit(kind).alias("kind"), F.col("c").alias("chunk"), tid.alias("tid"), label.cast("bigint").alias("label")))
+    none, zero, e, k, c = F.lit(None).cast("bigint"), F.lit(0), F.col("e"), F.col("k"), F.col("c")
+    here, at = (c == e) & (F.col("i") >= 0), F.greatest(e + 1, zero) * slots + F.greatest(e, zero) + k - 1
+    begin = c * (slots + 1) + k
+    rows = [row(here & (F.col("size") == 2), "tag", at - 1, none, -1 - F.col("speaker")), row(here, "token", at, F.col("tid"), F.col("tid"))]
+    rows += [row((c >= 0) & (c > e) & (c < F.col("n_chunks")), "audio", begin + s, none, F.lit(-100)) for s in range(slots)]
+    rows.append(row((c >= 0) & (c < F.col("following")), "next", begin + slots, none, F.lit(-10)))
+    chunks = x.withColumn("c", F.explode(F.sequence("e", F.greatest("e", "following"))))
+    return chunks.select(key, F.explode(F.array(*rows)).alias("x")).where("x is not null").select(key, "x.*")
 
 
 def bad_utterances(utterances: DataFrame, tokens: DataFrame, max_same: int = 8, max_rate: float = 25) -> DataFrame:

@@ -212,3 +212,29 @@ def test_future_labels_over_stretches(spark, monkeypatch):
     seg = a.select("conv_id", "speaker", (a["chunk"] * 4).alias("i"), (a["chunk"] * 4 + 1).alias("j"))
     counted = {(x.conv_id, x.label): x.n for x in ops.future_label_counts(seg, length, 12.5, 4).collect()}
     assert counted == {k: sum(1 for (c, _), v in want.items() if (c, v) == k) for k in {(c, v) for (c, _), v in want.items()}}
+
+
+def test_model_sequence_is_its_definition(spark):
+    from colloquy.operators.interleave import model_sequence
+
+    r = random.Random(5)
+    lens = [(f"c{c}", [0, 1, 79, 80, 81, 700, 2000, 4000, 4001, 5000][c]) for c in range(10)]
+    toks = [(c, r.randrange(2), 100 * int(c[1:]) + k, r.randrange(-300, max(ms, 1))) for c, ms in lens for k in range(r.choice([1, 5, 60])) if c not in ("c5", "c2")]
+    t = spark.createDataFrame(toks, "conv_id string, speaker int, tid bigint, end_ms bigint")
+    n = spark.createDataFrame(lens, "conv_id string, ms bigint")
+    s = schedule(t, n, 2, 2)
+    sent = sorted(((x.conv_id, x.i, x.e, x.n_chunks, x.tid, x.speaker) for x in s.collect()), key=lambda x: x[:2])
+    for slots in (1, 2):
+        want = []
+        for c, ms in lens:
+            items = [(k, 0, s, "audio", None, -100) for k in range(-(-ms // 80)) for s in range(slots)] + [(k, 2, 0, "next", None, -10) for k in range(-(-ms // 80))]
+            last = None
+            for _, i, e, chunks, tid, speaker in (x for x in sent if x[0] == c):
+                if e < chunks:
+                    items += [(e, 1, 2 * i, "tag", None, -1 - speaker)] * (speaker != last) + [(e, 1, 2 * i + 1, "token", tid, tid)]
+                last = speaker
+            want += [(c, pos, kind, chunk, tid, label) for pos, (chunk, _, _, kind, tid, label) in enumerate(sorted(items, key=lambda x: x[:3]))]
+        q = model_sequence(s, n, slots=slots)
+        assert sorted((tuple(x) for x in q.collect()), key=lambda x: x[:2]) == want
+    plan = q._jdf.queryExecution().optimizedPlan().toString()  # the sorts come before the slots are made
+    assert plan.index("Generate") < plan.index("Window")
