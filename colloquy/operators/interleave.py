@@ -15,22 +15,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def schedule(tokens: DataFrame, length: DataFrame, m: int | None, delay: int, chunk_ms: int = 80, key: str = "conv_id") -> DataFrame:
+ORDER = ("end_ms", "speaker", "tid")  # in which tokens leave
+LANES = 8  # up to so many tokens a chunk, all running maxima go by this order, and a queue is sorted once
+
+
+def schedule(tokens: DataFrame, length: DataFrame | None, m: int | None, delay: int, chunk_ms: int = 80, key: str = "conv_id") -> DataFrame:
     """Chunk of every token: key, [m,] tid, speaker, b, e, n_chunks, text columns of ``tokens``.
 
     ``tokens``: key, speaker, tid (stream order), end_ms; ``length``: key, ms. With ``m`` None the tokens
-    carry a column ``m`` and each (key, m) is a queue of its own. A token whose bucket lies at or
+    carry a column ``m`` and each (key, m) is a queue of its own; with ``length`` None they carry ``n_chunks``. A token whose bucket lies at or
     beyond the last chunk is dropped; one that leaves at or after it has e >= n_chunks (flushed).
     """
-    n = F.ceil(F.col("ms") / chunk_ms).cast("bigint")
-    x = tokens.join(length.select(key, n.alias("n_chunks")), key)
+    x = tokens if length is None else tokens.join(chunk_counts(length, key, chunk_ms), key)
     x = x.withColumn("b", F.least(F.col("n_chunks"), F.floor(F.col("end_ms") / chunk_ms) + delay)).where("b < n_chunks")
     if m is not None:
         x = x.withColumn("m", F.lit(m))
-    i = F.row_number().over(Window.partitionBy(key, "m").orderBy("end_ms", "speaker", "tid")) - 1
+    queue = Window.partitionBy(key, "m").orderBy(*ORDER)
+    i = F.row_number().over(queue) - 1
     x = x.withColumn("i", i.cast("bigint")).withColumns({"r": F.col("i") % F.col("m"), "q": F.floor(F.col("i") / F.col("m"))})
-    e = F.col("q") + F.max(F.col("b") - F.col("q")).over(Window.partitionBy(key, "m", "r").orderBy("q").rowsBetween(Window.unboundedPreceding, 0))
-    return x.withColumn("e", e.cast("bigint")).drop("r", "q")
+    late, past = F.col("b") - F.col("q"), (Window.unboundedPreceding, 0)
+    if m is not None and m <= LANES:
+        most = F.coalesce(*(F.when(F.col("r") == k, F.max(F.when(F.col("r") == k, late)).over(queue.rowsBetween(*past))) for k in range(m)))
+    else:
+        most = F.max(late).over(Window.partitionBy(key, "m", "r").orderBy("q").rowsBetween(*past))
+    return x.withColumn("e", (F.col("q") + most).cast("bigint")).drop("r", "q")
+
+
+def chunk_counts(length: DataFrame, key: str = "conv_id", chunk_ms: int = 80) -> DataFrame:
+    """key, n_chunks."""
+    return length.select(key, F.ceil(F.col("ms") / chunk_ms).cast("bigint").alias("n_chunks"))
 
 
 def speaker_tags(scheduled: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -87,6 +100,31 @@ def model_sequence(scheduled: DataFrame, length: DataFrame, key: str = "conv_id"
     return chunks.select(key, F.explode(F.array(*rows)).alias("x")).where("x is not null").select(key, "x.*")
 
 
+def sequence_sums(scheduled: DataFrame, length: DataFrame, key: str = "conv_id", chunk_ms: int = 80) -> DataFrame:
+    """Sums over the items of model_sequence(): key, kind, n, pos_sum, check_sum (of position times label, a decimal: tids times places soon leave a bigint).
+
+    No chunk is made: each tag or token moves the audio slots of the chunks after its own by one place, and the signs also of its own.
+    """
+    queue = Window.partitionBy(key, "m").orderBy(*ORDER)
+    before, e, n, wide = F.lag("speaker").over(queue), F.col("e"), F.col("n_chunks"), "decimal(38,0)"
+    x = scheduled.withColumn("tag", before.isNull() | (before != F.col("speaker"))).where("e < n_chunks").withColumn("size", F.when(F.col("tag"), 2).otherwise(1))
+    at = F.greatest(e + 1, F.lit(0)) + F.greatest(e, F.lit(0)) + F.sum("size").over(queue.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    x = x.withColumn("at", at)
+    tag_at, size = F.when(F.col("tag"), F.col("at") - 1), F.col("size")
+    sums = x.groupBy(key).agg(
+        F.count("*").alias("token_n"), F.sum("at").alias("token_pos"), F.sum(F.col("at").cast("decimal(19,0)") * F.col("tid").cast("decimal(19,0)")).cast(wide).alias("token_check"),
+        F.count(tag_at).alias("tag_n"), F.sum(tag_at).alias("tag_pos"), F.sum(tag_at * (-1 - F.col("speaker"))).cast(wide).alias("tag_check"),
+        F.sum(size * (n - 1 - F.greatest(e, F.lit(-1)))).alias("audio_moved"), F.sum(size * (n - F.greatest(e, F.lit(0)))).alias("next_moved"),
+    )
+    row = lambda kind, n, pos, check: F.struct(F.lit(kind).alias("kind"), F.coalesce(n, F.lit(0)).cast("bigint").alias("n"), pos.cast("bigint").alias("pos_sum"), check.cast(wide).alias("check_sum"))
+    chunks = F.greatest(n, F.lit(0))
+    audio, sign = chunks * (chunks - 1) + F.coalesce("audio_moved", F.lit(0)), chunks * chunks + F.coalesce("next_moved", F.lit(0))
+    rows = [row(kind, F.col(f"{kind}_n"), F.col(f"{kind}_pos"), F.col(f"{kind}_check")) for kind in ("token", "tag")]
+    rows += [row(kind, chunks, pos, pos.cast(wide) * label) for kind, pos, label in (("audio", audio, -100), ("next", sign, -10))]
+    whole = chunk_counts(length, key, chunk_ms).join(sums, key, "left")
+    return whole.select(key, F.explode(F.array(*rows)).alias("x")).select(key, "x.*").where("n > 0")
+
+
 def bad_utterances(utterances: DataFrame, tokens: DataFrame, max_same: int = 8, max_rate: float = 25) -> DataFrame:
     """utt_id, reason: empty, same_time or rate, in this order of precedence; others have none."""
     same = tokens.groupBy("utt_id", "end_ms").agg(F.count("*").alias("k")).groupBy("utt_id").agg(F.max("k").alias("same"), F.sum("k").alias("n"))

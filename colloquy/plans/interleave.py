@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.operators import interleave as ops
 from colloquy.plans.base import UTT, utterances, with_
+from colloquy.tables import checkpointed
 
 
 TOKENS = 1000  # token ids of one utterance; one with more words is an error, not another's id
@@ -15,9 +16,13 @@ TOKENS = 1000  # token ids of one utterance; one with more words is an error, no
 def tokens(spark: SparkSession, d: str) -> DataFrame:
     """conv_id, utt_id, speaker, tid, pos, end_ms, word."""
     u = utterances(spark, d, "text").where("text is not null").withColumn("w", F.filter(F.split("text", " "), lambda x: x != ""))
-    x = u.select("conv_id", "utt_id", "speaker", "s", "e", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
+    return timed(u.select("conv_id", "utt_id", "speaker", "s", "e", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word")), "word")
+
+
+def timed(x: DataFrame, *extra: str) -> DataFrame:
+    """conv_id, utt_id, speaker, tid, pos, end_ms and ``extra`` columns, from the words' places ``pos`` and their number ``n`` in the utterance."""
     end = F.col("s") + F.floor((F.col("pos") + 1) * (F.col("e") - F.col("s")) / F.col("n"))
-    return x.select("conv_id", "utt_id", "speaker", (F.col("utt_id") * TOKENS + F.when(F.col("pos") < TOKENS, F.col("pos")).otherwise(F.raise_error(F.lit("too many words in an utterance")).cast("int"))).alias("tid"), "pos", end.cast("bigint").alias("end_ms"), "word")
+    return x.select("conv_id", "utt_id", "speaker", (F.col("utt_id") * TOKENS + F.when(F.col("pos") < TOKENS, F.col("pos")).otherwise(F.raise_error(F.lit("too many words in an utterance")).cast("int"))).alias("tid"), "pos", end.cast("bigint").alias("end_ms"), *extra)
 
 
 def streams(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -49,10 +54,19 @@ def emission_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model_sequence(spark: SparkSession, d: str) -> DataFrame:
-    """Per conversation: items of each kind in the model sequence and the sum of position times label."""
-    t, n = streams(spark, d)
-    seq = ops.model_sequence(ops.schedule(t, n, 4, 2), n)
-    return seq.groupBy("conv_id", "kind").agg(F.count("*").alias("n"), F.sum("pos").alias("pos_sum"), F.sum(F.col("pos") * F.col("label")).alias("check_sum"))
+    """Per conversation: items of each kind in the model sequence, the sum of their positions and of position times label.
+
+    ``check_sum`` is a bigint, as in the SQL, if every one fits; if not (ids of over some 10^7 in long conversations), where the SQL fails, all are decimals.
+    Utterances are exchanged, with the number of their words; tokens are made behind the exchange.
+    """
+    length = utterances(spark, d).groupBy("conv_id").agg(F.max("e").alias("ms"))
+    words = F.size(F.filter(F.split("text", " "), lambda x: x != ""))
+    u = utterances(spark, d, "text").where("text is not null").select("conv_id", "utt_id", "speaker", "s", "e", words.alias("n")).where("n > 0")
+    u = u.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id").join(ops.chunk_counts(length), "conv_id")  # not coalesced by the size of what isn't yet made
+    t = timed(u.withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("n") - 1))), "n_chunks")
+    sums = checkpointed(ops.sequence_sums(ops.schedule(t, None, 4, 2), length))
+    narrow = F.expr("try_cast(check_sum as bigint)")
+    return sums.withColumn("check_sum", narrow) if sums.where(narrow.isNull() & F.col("check_sum").isNotNull()).isEmpty() else sums
 
 
 def bad_utterances(spark: SparkSession, d: str) -> DataFrame:

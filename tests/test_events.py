@@ -238,3 +238,32 @@ def test_model_sequence_is_its_definition(spark):
         assert sorted((tuple(x) for x in q.collect()), key=lambda x: x[:2]) == want
     plan = q._jdf.queryExecution().optimizedPlan().toString()  # the sorts come before the slots are made
     assert plan.index("Generate") < plan.index("Window")
+
+
+def test_sums_of_the_model_sequence_are_exact(spark, tmp_path):
+    from collections import defaultdict
+
+    from pyspark.sql import functions as F
+
+    from colloquy.operators.interleave import model_sequence
+    from colloquy.plans import interleave as plans
+
+    r = random.Random(9)
+    for shift, kind in ((0, "bigint"), (9 * 10**15, "decimal(38,0)")):  # tids of 9 * 10^18: a place above 1 leaves a bigint, and the SQL fails
+        utts = [(shift + 1 + k, f"c{k % 5}", r.randrange(2), at, at + r.choice([0.05, 1.0, 4.0]), " ".join("w" * r.choice([0, 1, 9, 39]))) for k in range(100) for at in (r.uniform(-1, 20),)]
+        utts += [(shift + 200, "silent", 0, 1.0, 2.0, None), (shift + 201, "blank", 1, 0.0, 0.3, "  "), (shift + 202, "before", 0, -1.0, -0.8, "a b"), (shift + 203, "before", 1, -0.5, -0.1, "c"), (None, "no id", 0, 0.0, 1.0, "a b c")]
+        d = f"{tmp_path}/{shift}"
+        spark.createDataFrame(utts + utts[:10], "utt_id bigint, conv_id string, speaker int, start_s double, end_s double, text string").write.parquet(f"{d}/utterance.parquet")
+        t, n = plans.streams(spark, d)
+        s = schedule(t, n, 4, 2)
+        want = defaultdict(lambda: [0, 0, 0])
+        for x in model_sequence(s, n).collect():
+            for k, v in enumerate((1, x.pos, x.pos * (x.label or 0))):
+                want[x.conv_id, x.kind][k] += v
+        q = plans.model_sequence(spark, d)
+        got = {(x.conv_id, x.kind): [x.n, x.pos_sum, int(x.check_sum or 0)] for x in q.collect()}
+        assert dict(q.dtypes)["check_sum"] == kind
+        assert got == dict(want) and len(got) > 20
+        assert (max(abs(x[2]) for x in got.values()) >= 2**63) == (shift > 0)
+        slow = schedule(t.withColumn("m", F.lit(4)), n, None, 2)  # the way of queues with an m of their own
+        assert sorted((x.conv_id, x.tid, x.i, x.e) for x in slow.collect()) == sorted((x.conv_id, x.tid, x.i, x.e) for x in s.collect())
